@@ -47,6 +47,12 @@ def _steps(column: Column, data_type: T.DataType, scale: int) -> tuple[Column, i
     raise TypeError(f"cannot sum {data_type.simpleString()} in steps")
 
 
+def half_even(column: Column, digits: int) -> Column:
+    """Round a double to some decimals, ties to even."""
+    factor = F.lit(float(10**digits))
+    return F.rint(column * factor) / factor
+
+
 def exact_sum(column: Column, data_type: T.DataType, scale: int = 6) -> Column:
     """Aggregate expression: the sum as a double, null for a group without values."""
     if isinstance(data_type, T.DecimalType):

@@ -37,18 +37,25 @@ def _flags(rows: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
 
 
 def control_limits(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Each point with the mean and deviation of the seven points before it, and whether it leaves the limits."""
+    """Each point with the mean and deviation of the seven points before it, and whether it leaves the limits.
+
+    The deviation is taken over the seven values in order, so equal inputs always land on the same side of the limit.
+    """
     keys = ["kpi", *by]
     series = Window.partitionBy(*keys)
     trailing = series.orderBy("idx").rowsBetween(-CONTROL_WINDOW, -1)
     mean = decimal_mean_over(F.col("value"), trailing)
-    deviation = F.stddev_samp("value").over(trailing)
+    spread = F.transform(F.col("_trail"), lambda v: (v - F.col("control_mean")) * (v - F.col("control_mean")))
+    total = F.aggregate(spread, F.lit(0.0), lambda a, v: a + v)
+    deviation = F.sqrt(total / F.lit(CONTROL_WINDOW - 1.0))
     full = (F.count("value").over(trailing) == CONTROL_WINDOW) & (F.count("value").over(series) >= MIN_PERIODS)
     out = F.abs(F.col("value") - F.col("control_mean")) > CONTROL_SIGMAS * F.col("control_std")
     return (
         trend.withColumn("control_mean", F.when(full, mean))
-        .withColumn("control_std", F.when(full, deviation))
+        .withColumn("_trail", F.collect_list("value").over(trailing))
+        .withColumn("control_std", F.when(F.col("control_mean").isNotNull(), deviation))
         .withColumn("breach", F.coalesce(out, F.lit(False)))
+        .drop("_trail")
     )
 
 

@@ -7,6 +7,7 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpiloom.functions.dates import period_of, to_time, within_periods
 from kpiloom.functions.exact import exact_mean, without_nan
@@ -21,7 +22,7 @@ def default_treatment(df: DataFrame, dimension: str) -> str:
     return first
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _welch(n1: pd.Series, m1: pd.Series, v1: pd.Series, n2: pd.Series, m2: pd.Series, v2: pd.Series) -> pd.Series:
     rows = zip(n1, m1, v1, n2, m2, v2)
     return pd.Series([None if any(pd.isna(x) for x in r) else welch_p_value(*r) for r in rows], dtype="float64")

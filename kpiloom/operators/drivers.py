@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.dates import period_of, to_time, within_periods
-from kpiloom.functions.exact import decimal_total, exact_sum, is_numeric, without_nan
+from kpiloom.functions.exact import decimal_total, exact_sum, half_even, is_numeric, without_nan
 from kpiloom.functions.text import direction
 from kpiloom.model import Kpi
 
@@ -129,7 +129,7 @@ def ranked(drivers: DataFrame) -> DataFrame:
 def top_slices(drivers: DataFrame, k: int = 6) -> DataFrame:
     """The k strongest slices of every dimension with their rank. Each task keeps k rows per dimension before the shuffle."""
     place = F.row_number().over(Window.partitionBy("kpi", "dimension").orderBy(F.desc(_strength()), F.asc("slice")))
-    return drivers.withColumn("rank", place).filter(F.col("rank") <= k)
+    return drivers.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def dimension_summary(drivers: DataFrame) -> DataFrame:
@@ -154,14 +154,14 @@ def dimension_summary(drivers: DataFrame) -> DataFrame:
 def ranked_dimensions(drivers: DataFrame) -> DataFrame:
     """Dimensions of every KPI in order of their strongest slice."""
     place = F.row_number().over(Window.partitionBy("kpi").orderBy(F.desc("top_strength"), "dimension"))
-    return dimension_summary(drivers).withColumn("dimension_rank", place)
+    return dimension_summary(drivers).withColumn("dimension_rank", place.cast("bigint"))
 
 
 def display_check(drivers: DataFrame) -> DataFrame:
     """Whether the contributions, rounded as displayed, add up to the displayed total."""
     return drivers.groupBy("kpi", "dimension").agg(
-        F.sum(F.round("contribution", 4).cast("decimal(38,4)")).cast("double").alias("displayed_sum"),
-        F.max(F.round("total_movement", 4)).alias("displayed_total"),
+        F.sum(half_even(F.col("contribution"), 4).cast("decimal(38,4)")).cast("double").alias("displayed_sum"),
+        F.max(half_even(F.col("total_movement"), 4)).alias("displayed_total"),
     ).withColumn("matches", F.abs(F.col("displayed_sum") - F.col("displayed_total")) < DISPLAY_TOLERANCE)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiloom.functions.exact import half_even
 from kpiloom.operators.narrative import OTHER, driver_type
 
 # Fixed values
@@ -40,7 +41,7 @@ def verdict_counts(feedback: DataFrame) -> DataFrame:
 
 def multiplier(rejects: Column, confirms: Column) -> Column:
     raw = F.lit(1.0) - F.lit(REJECT_STEP) * rejects + F.lit(CONFIRM_STEP) * confirms
-    return F.round(F.least(F.greatest(raw, F.lit(MIN_MULTIPLIER)), F.lit(MAX_MULTIPLIER)), 4)
+    return half_even(F.least(F.greatest(raw, F.lit(MIN_MULTIPLIER)), F.lit(MAX_MULTIPLIER)), 4)
 
 
 def adjustments(feedback: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kpiloom.functions.exact import half_even
 from kpiloom.functions.text import stable_id
 from kpiloom.model import MIN_PERIODS
 
@@ -76,8 +77,8 @@ def driver_findings(
     holds only those top slices, so it stays bounded however many slices a dimension has.
     """
     display = F.struct(
-        "rank", "slice", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"),
-        F.round("contribution", 4).alias("contribution"), F.round("share_pct", 2).alias("share_pct"), "direction",
+        "rank", "slice", half_even(F.col("before"), 4).alias("before"), half_even(F.col("after"), 4).alias("after"),
+        half_even(F.col("contribution"), 4).alias("contribution"), half_even(F.col("share_pct"), 2).alias("share_pct"), "direction",
     )
     nested = top.groupBy("kpi", "dimension").agg(F.array_sort(F.collect_list(display)).alias("slices"))
     status = validated.select("kpi", F.col("status").alias("kpi_status"), "period_count")

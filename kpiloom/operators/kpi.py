@@ -107,7 +107,7 @@ def trend_points(statistics: DataFrame, by: Sequence[str] = (), has_time: bool =
     rows = statistics.filter(F.col("value").isNotNull())
     if has_time:
         rows = rows.filter(F.col("period").isNotNull())
-    place = F.row_number().over(Window.partitionBy("kpi", *by).orderBy("period")) - 1
+    place = (F.row_number().over(Window.partitionBy("kpi", *by).orderBy("period")) - 1).cast("bigint")
     return rows.select("kpi", *by, place.alias("idx"), "period", "value")
 
 

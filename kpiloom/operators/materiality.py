@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kpiloom.functions.exact import half_even
+
 # Fixed values
 STATISTICAL_WEIGHT = 0.5
 BUSINESS_WEIGHT = 0.5
@@ -52,7 +54,7 @@ def score_materiality(
     adjusted = F.when(scorable, score * setting(multiplier, 1.0)).otherwise(0.0)
     deviation = F.coalesce("prior_std", F.lit(0.0))
     scored = summary.withColumn("sigmas", sigmas_moved(F.col("value"), F.col("baseline"), deviation))
-    return scored.withColumn("materiality", F.round(adjusted, 4))
+    return scored.withColumn("materiality", half_even(adjusted, 4))
 
 
 def by_materiality(scored: DataFrame) -> DataFrame:

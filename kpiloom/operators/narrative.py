@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiloom.functions.exact import half_even
 from kpiloom.functions.text import direction, number, relative_change, signed_percent, stable_id, stable_json
 
 # The first keyword found in a dimension name decides its driver type.
@@ -204,7 +205,7 @@ def leading_findings(findings: DataFrame) -> DataFrame:
 def insights(findings: DataFrame) -> DataFrame:
     """Bulleted insight of every KPI that has a usable finding."""
     top = F.try_element_at("slices", F.lit(1))
-    total = F.round("total_movement", 4)
+    total = half_even(F.col("total_movement"), 4)
     text = bullets_of(
         F.col("kpi"), direction(total), total, relative_change(F.col("before_value"), F.col("after_value")),
         F.col("dimension"), top["slice"], top["contribution"], top["share_pct"], top["direction"], F.col("confidence.level"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiloom.functions.dates import DATE_FORMATS, best_format, is_time_type, parses_as
-from kpiloom.functions.exact import is_float, is_integral, is_numeric, without_nan
+from kpiloom.functions.exact import half_even, is_float, is_integral, is_numeric, without_nan
 
 SAMPLE_SIZE = 5
 KEY_RATIO = 0.95
@@ -155,9 +155,9 @@ def profile(df: DataFrame, source_id: str = "", sample_order: Sequence[str] = ()
     )
     return rows.select(
         "source_id", "position", "name", "dtype", "row_count", "null_count",
-        F.round(F.coalesce(F.try_divide("null_count", "row_count"), F.lit(0.0)), 4).alias("null_ratio"),
+        half_even(F.coalesce(F.try_divide("null_count", "row_count"), F.lit(0.0)), 4).alias("null_ratio"),
         "cardinality",
-        F.round("cardinality_ratio_exact", 4).alias("cardinality_ratio"),
+        half_even(F.col("cardinality_ratio_exact"), 4).alias("cardinality_ratio"),
         ((F.col("row_count") > 0) & (F.col("cardinality") == F.col("row_count"))).alias("is_unique"),
         "detected_role", "date_format", "sample_values", "sample_numbers",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiloom.functions.exact import exact_quantiles, is_numeric, without_nan
+from kpiloom.functions.exact import exact_quantiles, half_even, is_numeric, without_nan
 from kpiloom.functions.text import is_numeric_text
 
 # Fixed values
@@ -132,7 +132,7 @@ def score_issues(issues: DataFrame, row_counts: DataFrame) -> DataFrame:
         F.sum(penalty.cast("decimal(20,10)")).cast("double").alias("penalty"), F.count("issue_type").alias("issue_count")
     )
     clamped = F.greatest(F.least(100.0 - F.col("penalty"), F.lit(100.0)), F.lit(0.0))
-    return scored.select("source_id", "row_count", "issue_count", F.round(clamped, 1).alias("score"))
+    return scored.select("source_id", "row_count", "issue_count", half_even(clamped, 1).alias("score"))
 
 
 def by_severity(issues: DataFrame) -> DataFrame:

@@ -25,10 +25,9 @@ STAGES = [
 
 
 def cost_usd(prompt_tokens: Column, completion_tokens: Column) -> Column:
-    """Estimated cost of a call at the published rates."""
-    prompt = prompt_tokens / F.lit(1_000_000.0) * F.lit(INPUT_USD_PER_MILLION)
-    completion = completion_tokens / F.lit(1_000_000.0) * F.lit(OUTPUT_USD_PER_MILLION)
-    return F.round(prompt + completion, 6)
+    """Estimated cost of a call at the published rates, to the millionth of a dollar."""
+    micro = prompt_tokens * F.lit(INPUT_USD_PER_MILLION) + completion_tokens * F.lit(OUTPUT_USD_PER_MILLION)
+    return F.rint(micro) / F.lit(1_000_000.0)
 
 
 def _cost_total(column: Column) -> Column:
@@ -55,7 +54,7 @@ def call_totals(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         n.alias("total_calls"),
         F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("total_prompt_tokens"),
         F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("total_completion_tokens"),
-        F.round(_cost_total(F.col("cost_usd")), 6).alias("total_cost_usd"),
+        _cost_total(F.col("cost_usd")).alias("total_cost_usd"),
         F.coalesce(latency, F.lit(0.0)).alias("avg_latency_ms"),
         cached.alias("cached_calls"),
         F.coalesce(F.try_divide(cached, n), F.lit(0.0)).alias("cache_hit_rate"),
@@ -69,7 +68,7 @@ def call_ledger(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     return calls.groupBy(*by).agg(
         F.count(F.lit(1)).alias("calls"),
-        F.round(_cost_total(F.col("cost_usd")), 6).alias("cost_usd"),
+        _cost_total(F.col("cost_usd")).alias("cost_usd"),
         F.max_by(shown, F.struct("created_at", "call_id")).alias("last_call"),
     )
 
