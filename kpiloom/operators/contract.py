@@ -123,13 +123,12 @@ def invalid_contracts(contracts: DataFrame) -> DataFrame:
 def column_roles(contracts: DataFrame, order_by: str = "source_id") -> DataFrame:
     """Role of every column: a contract role before an access tag, an earlier contract before a later one."""
     roles = ("measure", "dimension", "time", "identifier")
-    pieces = [
-        F.transform(
-            F.coalesce(F.col(f"columns_by_role.{r}"), F.array().cast("array<string>")),
-            lambda c, r=r, k=k: F.struct(c.alias("column"), F.lit(r).alias("role"), F.lit(k).alias("rank")),
-        )
-        for k, r in enumerate(roles)
-    ]
+
+    def listed(role: str, rank: int) -> Column:
+        names = F.coalesce(F.col(f"columns_by_role.{role}"), F.array().cast("array<string>"))
+        return F.transform(names, lambda c: F.struct(c.alias("column"), F.lit(role).alias("role"), F.lit(rank).alias("rank")))
+
+    pieces = [listed(role, rank) for rank, role in enumerate(roles)]
     tags = F.transform(
         F.map_entries("access_tags"),
         lambda e: F.struct(e["key"].alias("column"), e["value"].alias("role"), F.lit(len(roles)).alias("rank")),

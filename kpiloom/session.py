@@ -1,4 +1,4 @@
-"""Session settings and lineage cutting."""
+"""Session settings, shared scratch space and lineage cutting."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def build_session(app_name: str = "kpiloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,19 +26,29 @@ def build_session(app_name: str = "kpiloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` reliably, so that later jobs see one fixed result even when executors are lost.
+_local_folder: str | None = None
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    Uses the shared folder named by ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    temporary folder; on a cluster a missing setting is an error.
+    Only a local session without that setting gets a temporary folder; on a cluster a missing setting is an error.
     """
+    global _local_folder
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="kpiloom-")
+    return _local_folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and go on from the written rows, so later jobs see one fixed result even if executors are lost."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="kpiloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch_folder(spark))
     return df.checkpoint(eager=True)
