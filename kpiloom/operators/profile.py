@@ -13,6 +13,7 @@ from kpiloom.functions.dates import DATE_FORMATS, best_format, is_time_type, par
 from kpiloom.functions.exact import half_even, is_float, is_integral, is_numeric, without_nan
 
 SAMPLE_SIZE = 5
+HEAD_ROWS = 50
 KEY_RATIO = 0.95
 
 
@@ -94,25 +95,48 @@ def _approximate_statistics(df: DataFrame) -> DataFrame:
 
 
 def _samples(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """First values of every column in a stated row order. Each branch reads one column and keeps five rows per task."""
-    parts = []
-    for i, f in enumerate(df.schema.fields):
+    """First values of every column in a stated row order.
+
+    The first rows of the table, a bounded number, answer most columns in one job. Only columns with too few values
+    there are searched on their own, each reading that column and keeping five rows per task.
+    """
+    fields = df.schema.fields
+    cells = []
+    for i, f in enumerate(fields):
         c = without_nan(F.col(f"`{f.name}`"), f.dataType)
-        keys = [F.col(f"`{k}`").alias(f"_k{j}") for j, k in enumerate(order_by)]
-        first = df.select(c.alias("_v"), *keys).filter(F.col("_v").isNotNull())
-        first = first.orderBy(*[f"_k{j}" for j in range(len(keys))], "_v").limit(SAMPLE_SIZE)
-        value = F.col("_v").cast("string")
-        number = F.col("_v").cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")
-        order = F.struct(*[f"_k{j}" for j in range(len(keys))], value.alias("v"), number.alias("x"))
-        got = first.agg(F.array_sort(F.collect_list(order)).alias("s"))
-        parts.append(
-            got.select(
-                F.lit(i).alias("position"),
-                F.col("s.v").alias("sample_values"),
-                F.filter(F.col("s.x"), lambda x: x.isNotNull()).alias("sample_numbers"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+        number = c.cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")
+        cells.append(F.struct(c.cast("string").alias("v"), number.alias("x")).alias(f"c{i}"))
+    keys = [f"`{k}`" for k in order_by]
+    ties = [f"`{f.name}`" for f in fields if f.name not in order_by and _orderable(f.dataType)]
+    head = df.orderBy(*keys, *ties).limit(HEAD_ROWS).select(*cells).collect()
+    known, parts = [], []
+    for i, f in enumerate(fields):
+        values = [r[i] for r in head if r[i]["v"] is not None][:SAMPLE_SIZE]
+        if len(values) == SAMPLE_SIZE or len(head) < HEAD_ROWS:
+            known.append((i, [v["v"] for v in values], [v["x"] for v in values if v["x"] is not None]))
+        else:
+            parts.append(_first_values(df, i, f, order_by))
+    schema = "position int, sample_values array<string>, sample_numbers array<double>"
+    return reduce(DataFrame.unionByName, parts, df.sparkSession.createDataFrame(known, schema))
+
+
+def _orderable(data_type: T.DataType) -> bool:
+    return not isinstance(data_type, (T.MapType, T.VariantType, T.StructType, T.ArrayType))
+
+
+def _first_values(df: DataFrame, position: int, field: T.StructField, order_by: Sequence[str]) -> DataFrame:
+    """First non-null values of one column."""
+    c = without_nan(F.col(f"`{field.name}`"), field.dataType)
+    names = [f"_k{j}" for j in range(len(order_by))]
+    keys = [F.col(f"`{k}`").alias(n) for k, n in zip(order_by, names)]
+    first = df.select(c.alias("_v"), *keys).filter(F.col("_v").isNotNull()).orderBy(*names, "_v").limit(SAMPLE_SIZE)
+    number = F.col("_v").cast("double") if is_numeric(field.dataType) else F.lit(None).cast("double")
+    item = F.struct(*names, F.col("_v").cast("string").alias("v"), number.alias("x"))
+    got = first.agg(F.array_sort(F.collect_list(item)).alias("s"))
+    return got.select(
+        F.lit(position).alias("position"), F.col("s.v").alias("sample_values"),
+        F.filter(F.col("s.x"), lambda x: x.isNotNull()).alias("sample_numbers"),
+    )
 
 
 def detected_role() -> Column:
