@@ -7,6 +7,7 @@ before the shuffle, the result is the same for every partitioning, and a total m
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,7 +95,7 @@ def exact_quantiles(
     columns: list[str],
     probabilities: list[float],
     accuracy: int = 10_000,
-    direct_limit: int = 1_000_000,
+    direct_limit: int = 100_000,
 ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolated quantiles of whole columns, exact, without holding a column in one task.
 
@@ -108,25 +109,33 @@ def exact_quantiles(
     frame = df.select(*[without_nan(F.col(c), types[c]).cast("double").alias(c) for c in columns])
     if not columns:
         return {}
+    margin = 4.0 / accuracy
+    points = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probabilities for d in (-margin, margin)])
     aggregates = []
     for i, c in enumerate(columns):
         aggregates += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        aggregates.append(F.percentile_approx(c, points, accuracy).alias(f"q{i}"))
     row = frame.agg(*aggregates).first()
     targets = []  # one open search per (column, probability)
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
-        for p in probabilities:
+        for k, p in enumerate(probabilities):
             if n:
                 position = p * (n - 1)
                 targets.append(
                     dict(c=c, p=p, n=n, first=int(position), last=min(int(position) + 1, n - 1),
-                         fraction=position - int(position), lo=row[f"lo{i}"], hi=row[f"hi{i}"], below=0, inside=n)
+                         fraction=position - int(position), lo=row[f"lo{i}"], hi=row[f"hi{i}"], below=0, inside=n,
+                         guess=(float(row[f"q{i}"][2 * k]), float(row[f"q{i}"][2 * k + 1])))
                 )
+    first_round = True
     while True:
         wide = [t for t in targets if t["inside"] > direct_limit and t["lo"] < t["hi"]]
         if not wide:
             break
-        _narrow(frame, wide, accuracy)
+        if not first_round:
+            _sketch(frame, wide, accuracy)
+        first_round = False
+        _tighten(frame, wide)
     values = _order_statistics(frame, targets)
     out: dict[str, dict[float, float | None]] = {c: {p: None for p in probabilities} for c in columns}
     for i, t in enumerate(targets):
@@ -139,20 +148,31 @@ def _inside(t: dict) -> Column:
     return F.col(t["c"]).between(F.lit(t["lo"]), F.lit(t["hi"]))
 
 
-def _narrow(frame: DataFrame, targets: list[dict], accuracy: int) -> None:
-    """Shrink each bracket around its rank: sketch inside the bracket, then count exactly and widen on a miss."""
+def _sketch(frame: DataFrame, targets: list[dict], accuracy: int) -> None:
+    """Guess a narrower bracket for every target; targets searching the same bracket share one sketch."""
+    margin = 4.0 / accuracy
+    shared: dict[tuple, list[dict]] = {}
+    for t in targets:
+        shared.setdefault((t["c"], t["lo"], t["hi"]), []).append(t)
     sketches = []
-    for i, t in enumerate(targets):
-        share = (t["first"] - t["below"]) / max(t["inside"] - 1, 1)
-        margin = 4.0 / accuracy
-        points = F.array(F.lit(max(share - margin, 0.0)), F.lit(min(share + margin, 1.0)))
-        value = F.when(_inside(t), F.col(t["c"]))
-        sketches.append(F.percentile_approx(value, points, accuracy).alias(f"q{i}"))
+    for k, members in enumerate(shared.values()):
+        points = []
+        for t in members:
+            share = (t["first"] - t["below"]) / max(t["inside"] - 1, 1)
+            points += [F.lit(max(share - margin, 0.0)), F.lit(min(share + margin, 1.0))]
+        value = F.when(_inside(members[0]), F.col(members[0]["c"]))
+        sketches.append(F.percentile_approx(value, F.array(*points), accuracy).alias(f"q{k}"))
     found = frame.agg(*sketches).first()
-    proposals = {i: (float(found[f"q{i}"][0]), float(found[f"q{i}"][1])) for i in range(len(targets))}
+    for k, members in enumerate(shared.values()):
+        for place, t in enumerate(members):
+            t["guess"] = (float(found[f"q{k}"][2 * place]), float(found[f"q{k}"][2 * place + 1]))
+
+
+def _tighten(frame: DataFrame, targets: list[dict]) -> None:
+    """Count below and inside every guessed bracket, keep what holds the rank, and halve the range on a miss."""
     counts = []
     for i, t in enumerate(targets):
-        lo, hi = proposals[i]
+        lo, hi = t["guess"]
         counts.append(F.count_if(F.col(t["c"]) < F.lit(lo)).alias(f"b{i}"))
         counts.append(F.count_if(F.col(t["c"]).between(F.lit(lo), F.lit(hi))).alias(f"i{i}"))
         # The rank after the bracket may be the next larger value: remember it, so interpolation stays exact.
@@ -160,7 +180,7 @@ def _narrow(frame: DataFrame, targets: list[dict], accuracy: int) -> None:
     seen = frame.agg(*counts).first()
     for i, t in enumerate(targets):
         below, inside = seen[f"b{i}"], seen[f"i{i}"]
-        lo, hi = proposals[i]
+        lo, hi = t["guess"]
         if below <= t["first"] and t["last"] < below + inside:
             shrunk = inside < t["inside"]
             t.update(lo=lo, hi=hi, below=below, inside=inside)
@@ -174,7 +194,9 @@ def _narrow(frame: DataFrame, targets: list[dict], accuracy: int) -> None:
 
 
 def _halve(frame: DataFrame, t: dict) -> None:
-    middle = t["lo"] / 2 + t["hi"] / 2
+    middle = max(t["lo"], -sys.float_info.max) / 2 + min(t["hi"], sys.float_info.max) / 2
+    if middle >= t["hi"]:  # neighbouring doubles
+        middle = t["lo"]
     row = frame.filter(_inside(t)).agg(
         F.count_if(F.col(t["c"]) <= F.lit(middle)).alias("left"),
         F.max(F.when(F.col(t["c"]) <= F.lit(middle), F.col(t["c"]))).alias("left_max"),

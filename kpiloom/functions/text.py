@@ -18,9 +18,14 @@ def number(value: Column) -> Column:
     return F.coalesce(F.format_number(value.cast("double"), 2), F.lit("n/a"))
 
 
+def formatted(pattern: str, value: Column) -> Column:
+    """One value in a printf pattern; missing stays missing."""
+    return F.when(value.isNotNull(), F.format_string(pattern, value))
+
+
 def signed_percent(fraction: Column) -> Column:
     """A fraction as ``+8.4%``."""
-    return F.format_string("%+.1f%%", fraction.cast("double") * 100)
+    return formatted("%+.1f%%", fraction.cast("double") * 100)
 
 
 def direction(value: Column) -> Column:

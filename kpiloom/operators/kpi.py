@@ -70,7 +70,7 @@ def period_statistics(
         period = F.lit(None).cast("date")
     else:
         period = period_of(to_time(F.col(time_column), types[time_column], date_format), grain)
-    aggregates = []
+    aggregates = [F.count(F.lit(1)).alias("rows")]
     for (c, scale), i in measures.items():
         cell = without_nan(F.col(c), types[c])
         aggregates.append(F.count(cell).alias(f"n{i}"))
