@@ -1,8 +1,10 @@
 """Order-independent sums and exact quantiles.
 
-Adding doubles in parallel gives results that depend on task order. A double is therefore scaled to a whole number of
-``10**-scale`` steps and summed as two longs (high and low part). Both additions stay in generated code and combine
-before the shuffle, the result is the same for every partitioning, and a total may exceed the range of one long.
+Adding doubles in parallel gives results that depend on task order. A double is therefore split into a whole number of
+``10**-scale`` steps and a rest. Steps are summed as two longs (high and low part), which is exact whatever the order,
+stays in generated code and combines before the shuffle. The rest is zero for values with at most ``scale`` decimals
+and tiny otherwise, so its plain sum does not disturb the result. Values too large for steps are all rest. Nothing is
+rounded away and no total overflows one long.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOW_BITS = 20
+_LARGEST_STEPS = float(2**52)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType)
 
@@ -39,15 +42,6 @@ def without_nan(column: Column, data_type: T.DataType) -> Column:
     return F.when(~F.isnan(column), column)
 
 
-def _steps(column: Column, data_type: T.DataType, scale: int) -> tuple[Column, int]:
-    """The value as a whole number of steps and the scale actually used."""
-    if is_integral(data_type):
-        return column.cast("bigint"), 0
-    if is_float(data_type):
-        return F.rint(without_nan(column, data_type) * F.lit(float(10**scale))).cast("bigint"), scale
-    raise TypeError(f"cannot sum {data_type.simpleString()} in steps")
-
-
 def half_even(column: Column, digits: int) -> Column:
     """Round a double to some decimals, ties to even."""
     factor = F.lit(float(10**digits))
@@ -58,14 +52,23 @@ def exact_sum(column: Column, data_type: T.DataType, scale: int = 6) -> Column:
     """Aggregate expression: the sum as a double, null for a group without values."""
     if isinstance(data_type, T.DecimalType):
         return F.sum(column).cast("double")
-    steps, used = _steps(column, data_type, scale)
+    if is_integral(data_type):
+        return _step_total(column.cast("bigint")).cast("double")
+    if not is_float(data_type):
+        raise TypeError(f"cannot sum {data_type.simpleString()}")
+    value = without_nan(column.cast("double"), data_type)
+    scaled = F.rint(value * F.lit(float(10**scale)))
+    fits = F.abs(scaled) < F.lit(_LARGEST_STEPS)
+    steps = F.when(fits, scaled).when(value.isNotNull(), F.lit(0.0)).cast("bigint")
+    rest = F.when(fits, value - scaled / F.lit(float(10**scale))).otherwise(value)
+    unit = "0." + "0" * (scale - 1) + "1" if scale else "1"
+    factor = F.expr(f"CAST('{unit}' AS DECIMAL({max(scale, 1)},{scale}))")
+    return (_step_total(steps).cast(f"decimal({37 - max(scale, 1)},0)") * factor).cast("double") + F.sum(rest)
+
+
+def _step_total(steps: Column) -> Column:
     high = F.sum(F.shiftright(steps, _LOW_BITS)).cast("decimal(20,0)") * F.lit(1 << _LOW_BITS)
-    low = F.sum(steps.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(20,0)")
-    total = (high + low).cast(f"decimal({37 - used},0)")
-    if used == 0:
-        return total.cast("double")
-    step = "0." + "0" * (used - 1) + "1"
-    return (total * F.expr(f"CAST('{step}' AS DECIMAL({used},{used}))")).cast("double")
+    return high + F.sum(steps.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(20,0)")
 
 
 def exact_mean(column: Column, data_type: T.DataType, scale: int = 6) -> Column:
@@ -73,18 +76,20 @@ def exact_mean(column: Column, data_type: T.DataType, scale: int = 6) -> Column:
     return F.try_divide(exact_sum(column, data_type, scale), F.count(without_nan(column, data_type)).cast("double"))
 
 
-def decimal_total(column: Column) -> Column:
-    """Order-independent sum of doubles for small tables (trend points, slices), any magnitude up to 1e31."""
-    return F.sum(column.cast("decimal(38,6)")).cast("double")
+def small_total(column: Column) -> Column:
+    """The same for doubles of any magnitude in small tables (trend points, slices), with decimal steps."""
+    steps = column.try_cast("decimal(38,6)")
+    rest = column - F.coalesce(steps.cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(steps).cast("double"), F.lit(0.0)) + F.sum(rest)
 
 
-def decimal_mean(column: Column) -> Column:
-    return F.try_divide(decimal_total(column), F.count(column).cast("double"))
+def small_mean(column: Column) -> Column:
+    return F.try_divide(small_total(column), F.count(column).cast("double"))
 
 
-def decimal_mean_over(column: Column, window) -> Column:
-    total = F.sum(column.cast("decimal(38,6)")).over(window).cast("double")
-    return F.try_divide(total, F.count(column).over(window).cast("double"))
+def ordered_total(values: Column) -> Column:
+    """Sum of a short array from first to last."""
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
 
 
 # --- exact quantiles -------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiloom.functions.exact import decimal_mean_over
+from kpiloom.functions.exact import ordered_total
 from kpiloom.functions.joins import join_null_safe
 from kpiloom.functions.series import change_points
 from kpiloom.model import MIN_PERIODS
@@ -39,23 +39,22 @@ def _flags(rows: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
 def control_limits(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Each point with the mean and deviation of the seven points before it, and whether it leaves the limits.
 
-    The deviation is taken over the seven values in order, so equal inputs always land on the same side of the limit.
+    Mean and deviation are taken over the seven values in order, so equal inputs always land on the same side of the limit.
     """
     keys = ["kpi", *by]
     series = Window.partitionBy(*keys)
     trailing = series.orderBy("idx").rowsBetween(-CONTROL_WINDOW, -1)
-    mean = decimal_mean_over(F.col("value"), trailing)
+    mean = ordered_total(F.col("_trail")) / F.lit(float(CONTROL_WINDOW))
     spread = F.transform(F.col("_trail"), lambda v: (v - F.col("control_mean")) * (v - F.col("control_mean")))
-    total = F.aggregate(spread, F.lit(0.0), lambda a, v: a + v)
-    deviation = F.sqrt(total / F.lit(CONTROL_WINDOW - 1.0))
+    deviation = F.sqrt(ordered_total(spread) / F.lit(CONTROL_WINDOW - 1.0))
     full = (F.count("value").over(trailing) == CONTROL_WINDOW) & (F.count("value").over(series) >= MIN_PERIODS)
     out = F.abs(F.col("value") - F.col("control_mean")) > CONTROL_SIGMAS * F.col("control_std")
     return (
-        trend.withColumn("control_mean", F.when(full, mean))
-        .withColumn("_trail", F.collect_list("value").over(trailing))
+        trend.withColumns({"_trail": F.collect_list("value").over(trailing), "_full": full})
+        .withColumn("control_mean", F.when(F.col("_full"), mean))
         .withColumn("control_std", F.when(F.col("control_mean").isNotNull(), deviation))
         .withColumn("breach", F.coalesce(out, F.lit(False)))
-        .drop("_trail")
+        .drop("_trail", "_full")
     )
 
 
@@ -101,12 +100,14 @@ def detect_anomalies(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def local_direction(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Each point against the mean of its neighbours within three steps."""
-    around = Window.partitionBy("kpi", *by).orderBy("idx").rowsBetween(-NEIGHBOURS, NEIGHBOURS)
-    exact = F.col("value").cast("decimal(38,6)")
-    others = F.count("value").over(around) - 1
-    local = F.try_divide((F.sum(exact).over(around) - exact).cast("double"), others.cast("double"))
-    word = F.when(F.col("value") > local, "up").when(F.col("value") < local, "down").otherwise("flat")
-    return trend.withColumn("local_mean", local).withColumn("direction", word)
+    series = Window.partitionBy("kpi", *by).orderBy("idx")
+    before = F.collect_list("value").over(series.rowsBetween(-NEIGHBOURS, -1))
+    after = F.collect_list("value").over(series.rowsBetween(1, NEIGHBOURS))
+    local = F.try_divide(ordered_total(F.col("_near")), F.size("_near").cast("double"))
+    value, mean = F.col("value"), F.col("local_mean")
+    word = F.when(value > mean, "up").when(value < mean, "down").otherwise("flat")
+    near = trend.withColumn("_near", F.concat(before, after)).withColumn("local_mean", local)
+    return near.drop("_near").withColumn("direction", word)
 
 
 def corroborated(flags: DataFrame, trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.dates import period_of, to_time, within_periods
-from kpiloom.functions.exact import decimal_total, exact_sum, half_even, is_numeric, without_nan
+from kpiloom.functions.exact import exact_sum, half_even, is_numeric, small_total, without_nan
 from kpiloom.functions.text import direction
 from kpiloom.model import Kpi
 
@@ -138,7 +138,7 @@ def dimension_summary(drivers: DataFrame) -> DataFrame:
         "kpi", "dimension", "before_period", "after_period", "before_value", "after_value", "total_movement", "additive"
     ).agg(
         F.count(F.lit(1)).alias("slice_count"),
-        decimal_total(F.col("contribution")).alias("contribution_sum"),
+        small_total(F.col("contribution")).alias("contribution_sum"),
         F.max(_strength()).alias("top_strength"),
     )
     residual = F.col("contribution_sum") - F.col("total_movement")

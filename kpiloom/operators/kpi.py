@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.dates import period_of, to_time
-from kpiloom.functions.exact import decimal_mean, exact_sum, is_numeric, without_nan
+from kpiloom.functions.exact import exact_sum, is_numeric, small_mean, without_nan
 from kpiloom.functions.series import bootstrap_interval
 from kpiloom.model import MIN_PERIODS, Kpi
 
@@ -175,8 +175,8 @@ def summarize(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ranked.groupBy(*keys).agg(
         F.max(F.when(back == 1, F.col("period"))).alias("period"),
         F.max(F.when(back == 1, value)).alias("value"),
-        decimal_mean(F.when(back.between(2, BASELINE_WINDOW + 1), value)).alias("baseline"),
-        decimal_mean(value).alias("benchmark"),
+        small_mean(F.when(back.between(2, BASELINE_WINDOW + 1), value)).alias("baseline"),
+        small_mean(value).alias("benchmark"),
         F.stddev_samp(F.when(back > 1, value)).alias("prior_std"),
         F.count(F.lit(1)).alias("period_count"),
     )

@@ -36,8 +36,12 @@ def _cells(field: T.StructField, position: int) -> Column:
     whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(field.dataType, T.DateType):
         whole = F.unix_date(c).cast("bigint")
+    elif isinstance(field.dataType, T.TimestampNTZType):  # without a zone: no conversion may merge two times
+        clock = (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1_000_000
+        micros = (F.date_part(F.lit("SECONDS"), c) * 1_000_000).cast("bigint")
+        whole = F.unix_date(F.to_date(c)).cast("bigint") * 86_400_000_000 + clock + micros
     elif kind == "time":
-        whole = F.unix_micros(c.cast("timestamp"))
+        whole = F.unix_micros(c)
     elif kind in ("int", "bool"):
         whole = c.cast("bigint")
     elif is_float(field.dataType):

@@ -131,3 +131,23 @@ def test_welch_against_tabulated_points():
     assert series.regularized_beta(5, 0.5, 10 / (10 + 2.2281388519862747**2)) == pytest.approx(0.05, abs=1e-12)
     assert series.welch_p_value(4, 2.0, 0.0, 4, 1.0, 0.0) is None
     assert series.welch_p_value(1, 2.0, 1.0, 4, 1.0, 1.0) is None
+
+
+def test_sum_keeps_tiny_and_huge_values(spark):
+    tiny = [3.2e-8, 1.25e-9, 7e-13] * 50
+    df = spark.createDataFrame([(v,) for v in tiny], "v double")
+    assert sums(df.repartition(5), T.DoubleType()) == pytest.approx(math.fsum(tiny), rel=1e-12)
+    huge = spark.createDataFrame([(3e200,), (-1e15,), (2.5,)], "v double")
+    assert sums(huge, T.DoubleType()) == 3e200
+    assert sums(spark.createDataFrame([(float("inf"),), (1.0,)], "v double"), T.DoubleType()) == math.inf
+    small = df.agg(exact.small_total(F.col("v")).alias("s")).first()["s"]
+    assert small == pytest.approx(math.fsum(tiny), rel=1e-12)
+    assert huge.agg(exact.small_total(F.col("v")).alias("s")).first()["s"] == 3e200
+    assert huge.limit(0).agg(exact.small_total(F.col("v")).alias("s")).first()["s"] is None
+
+
+@pytest.mark.parametrize("scale", [0, 1, 2, 9])
+def test_sum_scales(spark, scale):
+    values = [round(i * 0.37 - 40, scale) for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    assert sums(df, T.DoubleType(), scale) == pytest.approx(math.fsum(values), abs=1e-12)

@@ -21,6 +21,13 @@ def rounded(expression: str, digits: int) -> str:
     return f"(round_even(({expression}) * 1e{digits}, 0) / 1e{digits})"
 
 
+def small_total(value: str, condition: str = "") -> str:
+    """SQL of the library's total over few doubles: decimal steps plus rest."""
+    only = f" FILTER ({condition})" if condition else ""
+    steps = f"CAST({value} AS DECIMAL(38,6))"
+    return f"(CAST(sum({steps}){only} AS DOUBLE) + sum({value} - CAST({steps} AS DOUBLE)){only})"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -21,7 +21,7 @@ def two_methods(trend: DataFrame) -> DataFrame:
 
 
 FLAGS_SQL = """, lim AS (SELECT *, count(value) OVER (PARTITION BY kpi) AS n, count(value) OVER w AS c,
-    CAST(sum(CAST(value AS DECIMAL(38,6))) OVER w AS DOUBLE) / count(value) OVER w AS m, list(value) OVER w AS l
+    list(value) OVER w AS l, list_sum(list(value) OVER w) / 7.0 AS m
   FROM trend WINDOW w AS (PARTITION BY kpi ORDER BY idx ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
 breaches AS (SELECT kpi, 'control_limit_breaches' AS method, idx, period, value FROM lim WHERE c = 7 AND n >= 8
     AND abs(value - m) > 3.0 * sqrt(list_sum(list_transform(l, lambda x: (x - m) * (x - m))) / 6.0)),
@@ -31,8 +31,10 @@ mad AS (SELECT kpi, median(dist) AS mad FROM dist GROUP BY kpi),
 outliers AS (SELECT kpi, 'outliers' AS method, idx, period, value FROM dist JOIN mad USING (kpi)
   WHERE n >= 8 AND mad > 0 AND abs(0.6745 * (value - med) / mad) > 3.5),
 flags AS (SELECT * FROM breaches UNION ALL SELECT * FROM outliers),
-dir AS (SELECT kpi, idx, value, CAST(sum(CAST(value AS DECIMAL(38,6))) OVER w - CAST(value AS DECIMAL(38,6)) AS DOUBLE) / nullif(count(value) OVER w - 1, 0) AS local_mean
-  FROM trend WINDOW w AS (PARTITION BY kpi ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+near AS (SELECT kpi, idx, value, list_concat(
+    list(value) OVER (PARTITION BY kpi ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
+    list(value) OVER (PARTITION BY kpi ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS l FROM trend),
+dir AS (SELECT kpi, idx, value, list_sum(l) / nullif(len(l), 0) AS local_mean FROM near),
 directed AS (SELECT kpi, idx, local_mean, CASE WHEN value > local_mean THEN 'up' WHEN value < local_mean THEN 'down' ELSE 'flat' END AS direction FROM dir)"""
 
 SUPPORT_SQL = """, own AS (SELECT f.*, direction FROM flags f JOIN directed USING (kpi, idx)),

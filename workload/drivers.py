@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.model import Kpi
 from kpiloom.operators import causal, drivers, kpi
-from workload import Query, table
+from workload import Query, small_total, table
 from workload.kpis import ORDER_KPIS, order_trend
 
 ORDER_DIMENSIONS = ["o_orderstatus", "o_orderpriority"]
@@ -86,8 +86,8 @@ SELECT 'avg(l_discount)' AS kpi, dimension, slice, before_period, after_period,
 TOP_SQL = """ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kpi, dimension ORDER BY abs(contribution) DESC, slice) AS rank FROM drv)
 WHERE rank <= {k}"""
 
-DIMENSIONS_SQL = """, dims AS (SELECT kpi, dimension, before_period, after_period, before_value, after_value, total_movement, additive,
-  count(*) AS slice_count, CAST(sum(CAST(contribution AS DECIMAL(38,6))) AS DOUBLE) AS contribution_sum, max(abs(contribution)) AS top_strength
+DIMENSIONS_SQL = f""", dims AS (SELECT kpi, dimension, before_period, after_period, before_value, after_value, total_movement, additive,
+  count(*) AS slice_count, {small_total('contribution')} AS contribution_sum, max(abs(contribution)) AS top_strength
   FROM drv GROUP BY ALL),
 ranked_dims AS (SELECT *, contribution_sum - total_movement AS residual,
   abs(contribution_sum - total_movement) <= greatest(1e-6, abs(total_movement) * 1e-9, 1e-6 * greatest(abs(before_value), abs(after_value), 1.0)) AS reconciled,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.model import Kpi
 from kpiloom.operators import contract, kpi, materiality, profile
-from workload import Query, table
+from workload import Query, small_total, table
 
 LINEITEM_KPIS = [
     Kpi("l_extendedprice", "sum", scale=2),
@@ -67,13 +67,13 @@ long AS (SELECT 'sum(o_totalprice)' AS kpi, period, a AS value FROM w
          UNION ALL SELECT 'count(o_orderkey)', period, b FROM w),
 trend AS (SELECT kpi, row_number() OVER (PARTITION BY kpi ORDER BY period) - 1 AS idx, period, value FROM long)"""
 
-SUMMARY_SQL = """ranked AS (
+SUMMARY_SQL = f"""ranked AS (
   SELECT *, row_number() OVER (PARTITION BY kpi ORDER BY period DESC) AS back FROM trend),
 summary AS (
   SELECT kpi, max(period) FILTER (back = 1) AS period, max(value) FILTER (back = 1) AS value,
-         CAST(sum(CAST(value AS DECIMAL(38,6))) FILTER (back BETWEEN 2 AND 8) AS DOUBLE)
+         {small_total('value', 'back BETWEEN 2 AND 8')}
            / nullif(count(value) FILTER (back BETWEEN 2 AND 8), 0) AS baseline,
-         CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / count(value) AS benchmark,
+         {small_total('value')} / count(value) AS benchmark,
          stddev_samp(value) FILTER (back > 1) AS prior_std,
          count(*) AS period_count
   FROM ranked GROUP BY kpi)"""

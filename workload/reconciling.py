@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.dates import Cadence
 from kpiloom.operators import grain
-from workload import Query, table
+from workload import Query, small_total, table
 
 
 def daily_sales(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +22,7 @@ def daily_sales(spark: SparkSession, folder: str) -> DataFrame:
 def downsampled_sql(unit: str) -> str:
     return f"""SELECT CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS ship_date, CASE WHEN l_orderkey % 9 <> 0 THEN l_returnflag END AS flag,
   l_linestatus, CAST(sum(l_linenumber) AS BIGINT) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
-  CAST(sum(CAST(l_discount * 100.0 AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS discount_pct,
+  {small_total('l_discount * 100.0')} / count(*) AS discount_pct,
   CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS tax FROM lineitem GROUP BY ALL"""
 
 
