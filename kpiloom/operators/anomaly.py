@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exact import ordered_total
-from kpiloom.functions.joins import join_null_safe
 from kpiloom.functions.series import change_points
 from kpiloom.model import MIN_PERIODS
 
@@ -62,40 +61,44 @@ def control_limit_breaches(trend: DataFrame, by: Sequence[str] = ()) -> DataFram
     return _flags(control_limits(trend, by).filter("breach"), ["kpi", *by], "control_limit_breaches")
 
 
+def robust_scores(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each point with its modified z-score, null for short series and series without absolute deviation.
+
+    Both medians are window values of the same partitioning, so a series is read and moved once.
+    """
+    series = Window.partitionBy("kpi", *by)
+    centre = trend.withColumn("_distance", F.abs(F.col("value") - F.median("value").over(series)))
+    enough = F.count("value").over(series) >= MIN_PERIODS
+    spread = centre.withColumns({"_mad": F.median("_distance").over(series), "_enough": enough})
+    score = F.abs(F.try_divide(F.lit(MAD_SCALE) * F.col("_distance"), F.col("_mad")))
+    scored = spread.withColumn("modified_z", F.when(F.col("_enough") & (F.col("_mad") > 0), score))
+    return scored.drop("_distance", "_mad", "_enough")
+
+
 def mad_outliers(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Points whose modified z-score exceeds the cutoff; series without absolute deviation have none."""
-    keys = ["kpi", *by]
-    centre = trend.groupBy(*keys).agg(F.median("value").alias("_median"), F.count("value").alias("_n"))
-    distance = F.abs(F.col("value") - F.col("_median"))
-    centred = join_null_safe(trend, centre, keys, "inner").withColumn("_distance", distance)
-    spread = centred.groupBy(*keys).agg(F.median("_distance").alias("_mad"))
-    scored = join_null_safe(centred, spread, keys, "inner")
-    score = F.abs(F.try_divide(F.lit(MAD_SCALE) * (F.col("value") - F.col("_median")), F.col("_mad")))
-    hits = scored.filter((F.col("_n") >= MIN_PERIODS) & (F.col("_mad") > 0) & (score > MAD_CUTOFF))
-    return _flags(hits, keys, "outliers")
+    """Points whose modified z-score exceeds the cutoff."""
+    return _flags(robust_scores(trend, by).filter(F.col("modified_z") > MAD_CUTOFF), ["kpi", *by], "outliers")
 
 
-def level_shifts(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Change points of every series. One task handles one series at a time; long series need memory for
-    ``(periods / 5) ** 2`` numbers, so use weekly periods for very long histories."""
+def level_marks(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every point with whether the level changes there. One task handles one series at a time; long series need memory
+    for ``(periods / 5) ** 2`` numbers, so use weekly periods for very long histories."""
     keys = ["kpi", *by]
+    columns = [*keys, "idx", "period", "value"]
     types = {f.name: f.dataType.simpleString() for f in trend.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "idx"])
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", shift boolean"
 
     def detect(series: pd.DataFrame) -> pd.DataFrame:
-        ordered = series.sort_values("idx")
+        ordered = series.sort_values("idx").reset_index(drop=True)
         points = change_points(ordered["value"].to_numpy(dtype=float), MIN_PERIODS)
-        return ordered.iloc[points][[*keys, "idx"]]
+        return ordered.assign(shift=ordered.index.isin(points))
 
-    found = trend.select(*keys, "idx", "value").groupBy(*keys).applyInPandas(detect, schema)
-    hits = join_null_safe(trend, found, [*keys, "idx"], "left_semi")
-    return _flags(hits, keys, "change_points")
+    return trend.select(*columns).groupBy(*keys).applyInPandas(detect, schema)
 
 
-def detect_anomalies(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Flags of all three methods as one long table."""
-    flags = control_limit_breaches(trend, by).unionByName(mad_outliers(trend, by))
-    return flags.unionByName(level_shifts(trend, by))
+def level_shifts(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Change points of every series."""
+    return _flags(level_marks(trend, by).filter("shift"), ["kpi", *by], "change_points")
 
 
 def local_direction(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -110,42 +113,72 @@ def local_direction(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return near.drop("_near").withColumn("direction", word)
 
 
-def corroborated(flags: DataFrame, trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Each flag with its direction and the other methods flagging within one step, with theirs.
+def marks(trend: DataFrame, by: Sequence[str] = (), change_points: bool = True) -> DataFrame:
+    """Every point with its direction and a yes/no column per method, in one pass over the trend without joins.
 
-    Flags are spread to their neighbouring positions and joined by equality.
+    ``change_points=False`` leaves out the one method that needs Python; its column is then false.
     """
-    keys = ["kpi", *by]
-    directed = local_direction(trend, by).select(*keys, "idx", "direction")
-    own = join_null_safe(flags, directed, [*keys, "idx"], "inner")
-    near = own.select(
-        *[F.col(k).alias(f"_n_{k}") for k in keys],
-        F.col("method").alias("other_method"), F.col("direction").alias("other_direction"), F.col("idx").alias("other_idx"),
-        F.explode(F.array(F.col("idx") - 1, F.col("idx"), F.col("idx") + 1)).alias("_at"),
+    points = level_marks(trend, by) if change_points else trend.withColumn("shift", F.lit(False))
+    rated = local_direction(robust_scores(control_limits(points, by), by), by)
+    outlier = F.coalesce(F.col("modified_z") > MAD_CUTOFF, F.lit(False))
+    return rated.select(
+        "kpi", *by, "idx", "period", "value", "direction",
+        F.col("shift").alias("change_points"), F.col("breach").alias("control_limit_breaches"), outlier.alias("outliers"),
     )
-    match = (F.col("idx") == F.col("_at")) & (F.col("method") != F.col("other_method"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
-    return own.join(near, match, "left").drop("_at", *[f"_n_{k}" for k in keys])
 
 
-def anomaly_findings(flags: DataFrame, trend: DataFrame, validated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One finding per flag: direction, corroborating methods, KPI status and a readable lineage.
+def _marked_methods() -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(m), F.lit(m)) for m in METHOD_LABELS]))
+
+
+def flags_of(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Flags as a long table: one row per point and method."""
+    return marked.select("kpi", *by, F.explode(_marked_methods()).alias("method"), "idx", "period", "value")
+
 
-    The list of corroborating flags is bounded: two other methods at three positions.
+def detect_anomalies(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Flags of all three methods as one long table."""
+    return flags_of(marks(trend, by), by)
+
+
+def supported(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each flag with its direction and ``corroborating``: other methods' flags within one step, with their directions.
+
+    A point's neighbours are the rows before and after it in its series, so no join is needed. The list is bounded: two
+    other methods at three positions.
     """
-    keys = ["kpi", *by]
-    support = F.when(
-        F.col("other_method").isNotNull(),
-        F.struct(F.col("other_idx").alias("idx"), F.col("other_method").alias("method"), F.col("other_direction").alias("direction")),
-    )
-    grouped = corroborated(flags, trend, by).groupBy(*keys, "method", "idx", "period", "value", "direction").agg(
-        F.array_sort(F.collect_list(support)).alias("corroborating")
+    here = F.struct("idx", "direction", _marked_methods().alias("methods"))
+    series = Window.partitionBy("kpi", *by).orderBy("idx")
+    near = F.array(F.lag(here).over(series), here, F.lead(here).over(series))
+    placed = marked.withColumn("_near", near).withColumn("method", F.explode(_marked_methods()))
+
+    def others(point: Column) -> Column:
+        named = F.filter(point["methods"], lambda m: m != F.col("method"))
+        return F.transform(
+            named, lambda m: F.struct(point["idx"].alias("idx"), m.alias("method"), point["direction"].alias("direction"))
+        )
+
+    close = F.filter("_near", lambda p: p.isNotNull() & (F.abs(p["idx"] - F.col("idx")) <= 1))
+    found = F.array_sort(F.flatten(F.transform(close, others)))
+    return placed.select("kpi", *by, "method", "idx", "period", "value", "direction", found.alias("corroborating"))
+
+
+def corroborated(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per flag and corroborating flag; uncorroborated flags appear once with nulls."""
+    rows = supported(marked, by).withColumn("c", F.explode_outer("corroborating"))
+    return rows.select(
+        "kpi", *by, "method", "idx", "period", "value", "direction",
+        F.col("c.method").alias("other_method"), F.col("c.direction").alias("other_direction"), F.col("c.idx").alias("other_idx"),
     )
+
+
+def anomaly_findings(marked: DataFrame, validated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One finding per flag: direction, corroborating methods, KPI status and a readable lineage."""
+    keys = ["kpi", *by]
     status = validated.select(F.col("kpi").alias("_kpi"), F.col("status").alias("kpi_status"), "period_count")
     labels = F.create_map(*[F.lit(x) for pair in METHOD_LABELS.items() for x in pair])
     label = F.try_element_at(labels, F.col("method"))
-    joined = grouped.join(status, F.col("kpi") == F.col("_kpi"), "left").drop("_kpi")
+    joined = supported(marked, by).join(status, F.col("kpi") == F.col("_kpi"), "left").drop("_kpi")
     return joined.select(
         *keys, "method", "idx", "period", "value", "direction", "kpi_status", "period_count",
         F.col("value").alias("statistic"),
@@ -169,8 +202,13 @@ def method_counts(flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return flags.groupBy(*by, "method").agg(F.count(F.lit(1)).alias("flags"))
 
 
-def flag_table(flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def flag_table(marked: DataFrame) -> DataFrame:
     """One row per flagged period with a yes/no column per method."""
+    return marked.filter(F.size(_marked_methods()) > 0).drop("direction")
+
+
+def pivot_flags(flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same table from stored long flags."""
     wide = flags.groupBy("kpi", *by, "idx", "period", "value").pivot("method", list(METHOD_LABELS)).agg(F.count(F.lit(1)))
     yes = [(F.coalesce(F.col(m), F.lit(0)) > 0).alias(m) for m in METHOD_LABELS]
     return wide.select("kpi", *by, "idx", "period", "value", *yes)

@@ -55,22 +55,28 @@ def classified(profiles: DataFrame) -> DataFrame:
     )
 
 
-def hierarchies(profiles: DataFrame) -> DataFrame:
-    """Dimension pairs of one source where the parent's name begins the child's name.
+def hierarchy_pairs(names: Column) -> Column:
+    """Pairs of names where the parent's name begins the child's name, sorted.
 
-    Every proper prefix of a name is looked up among the names, an equality join instead of comparing all pairs.
+    Every proper prefix of a name is looked up among the names instead of comparing all pairs.
     """
-    names = profiles.filter(semantic_role(F.col("detected_role")) == "dimension").select("source_id", "name").distinct()
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda k: F.substring(F.col("name"), F.lit(1), k))
-    children = names.filter(F.length("name") > 1).select(
-        "source_id", F.col("name").alias("child"), F.explode(prefixes).alias("parent")
-    )
-    parents = names.withColumnRenamed("name", "parent")
-    return children.join(parents, ["source_id", "parent"], "left_semi").select("source_id", "parent", "child")
+    def parents(child: Column) -> Column:
+        prefixes = F.transform(F.sequence(F.lit(1), F.length(child) - 1), lambda k: F.substring(child, F.lit(1), k))
+        known = F.when(F.length(child) > 1, F.array_intersect(prefixes, names)).otherwise(F.array().cast("array<string>"))
+        return F.transform(known, lambda parent: F.struct(parent.alias("parent"), child.alias("child")))
+
+    return F.array_sort(F.flatten(F.transform(names, parents)))
+
+
+def hierarchies(profiles: DataFrame) -> DataFrame:
+    """Likely parent and child dimensions of every source."""
+    dimension = semantic_role(F.col("detected_role")) == "dimension"
+    grouped = profiles.filter(dimension).groupBy("source_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return grouped.select("source_id", F.inline(hierarchy_pairs(F.col("names"))))
 
 
 def build_contract(profiles: DataFrame, grain: str | None = None) -> DataFrame:
-    """Contract rows for all profiled sources at once."""
+    """Contract rows for all profiled sources at once, from one pass over the profile rows."""
     rows = classified(profiles)
     item = F.struct("position", "name", "aggregation")
 
@@ -82,9 +88,6 @@ def build_contract(profiles: DataFrame, grain: str | None = None) -> DataFrame:
         named("measure").alias("m"), named("dimension").alias("d"), named("time").alias("t"), named("identifier").alias("i"),
         F.array_sort(F.collect_list(F.struct("position", "name"))).alias("all_columns"),
     )
-    pairs = hierarchies(profiles).groupBy("source_id").agg(
-        F.array_sort(F.collect_list(F.struct("parent", "child"))).alias("hierarchies")
-    )
     dimension_names = F.col("d.name")
     time_name = F.try_element_at("t", F.lit(1))["name"]
     definitions = F.transform(
@@ -93,12 +96,11 @@ def build_contract(profiles: DataFrame, grain: str | None = None) -> DataFrame:
             m["name"].alias("column"), m["aggregation"].alias("aggregation"), dimension_names.alias("sliceable_by")
         ),
     )
-    empty_pairs = F.array().cast("array<struct<parent:string,child:string>>")
-    return grouped.join(pairs, "source_id", "left").select(
+    return grouped.select(
         "source_id",
         F.lit(grain).cast("string").alias("grain"),
         definitions.alias("kpi_definitions"),
-        F.coalesce("hierarchies", empty_pairs).alias("hierarchies"),
+        hierarchy_pairs(dimension_names).alias("hierarchies"),
         F.struct(
             time_name.alias("time_column"), F.coalesce(granularity(time_name), F.lit("day")).alias("granularity")
         ).alias("calendar"),

@@ -43,10 +43,9 @@ def analyse(
     trend = kpi.trend_points(statistics)
     validated = kpi.validate_kpis(statistics, kpis, df.columns)
     summary = materiality.score_materiality(kpi.compute_kpis(trend))
-    flags = anomaly.detect_anomalies(trend)
-    scored_anomalies = findings.apply_confidence(
-        anomaly.anomaly_findings(flags, trend, validated), quality_score
-    )
+    marked = anomaly.marks(trend)
+    flags = anomaly.flags_of(marked)
+    scored_anomalies = findings.apply_confidence(anomaly.anomaly_findings(marked, validated), quality_score)
     movements = drivers.latest_movements(trend, kpis)
     slices = drivers.decompose(df, movements, dimensions, time_column, grain, date_format)
     built = findings.driver_findings(

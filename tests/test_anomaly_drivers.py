@@ -59,17 +59,18 @@ def test_detectors_equal_plain_numpy(trend_of):
 def test_neighbouring_methods_support_each_other(spark, trend_of):
     values = noise(40)
     values[20] = 160.0
-    trend = trend_of(values)
-    flags = spark.createDataFrame(
-        [("k", m, i, date(2024, 1, 1) + timedelta(days=i), values[i]) for m, i in (("outliers", 20), ("control_limit_breaches", 21), ("outliers", 30))],
-        "kpi string, method string, idx bigint, period date, value double",
+    directed = anomaly.local_direction(trend_of(values))
+    marked = directed.select(
+        "kpi", "idx", "period", "value", "direction", F.lit(False).alias("change_points"),
+        (F.col("idx") == 21).alias("control_limit_breaches"), F.col("idx").isin(20, 30).alias("outliers"),
     )
     checked = spark.createDataFrame([("k", "valid", 40)], "kpi string, status string, period_count bigint")
-    got = {r["finding_key"]: r for r in records(anomaly.anomaly_findings(flags, trend, checked))}
+    got = {r["finding_key"]: r for r in records(anomaly.anomaly_findings(marked, checked))}
     assert got["anomaly:outliers:20"]["direction"] == "up"
     assert got["anomaly:outliers:20"]["corroborating_methods"] == [{"method": "control_limit_breaches", "direction": "down"}]
     assert got["anomaly:outliers:30"]["corroborating_methods"] == []
-    wide = {r["idx"]: r for r in records(anomaly.flag_table(flags))}
+    wide = {r["idx"]: r for r in records(anomaly.flag_table(marked))}
+    assert wide == {r["idx"]: r for r in records(anomaly.pivot_flags(anomaly.flags_of(marked)))} and set(wide) == {20, 21, 30}
     assert wide[21]["control_limit_breaches"] and not wide[21]["outliers"] and not wide[21]["change_points"]
 
 

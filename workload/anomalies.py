@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.operators import anomaly, findings, kpi
+from kpiloom.session import cut_lineage
 from workload import Query, table
 from workload.kpis import LINEITEM_KPIS, lineitem_trend, lineitem_trend_sql
 
@@ -16,8 +17,9 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
     return lineitem_trend(spark, folder)
 
 
-def two_methods(trend: DataFrame) -> DataFrame:
-    return anomaly.control_limit_breaches(trend).unionByName(anomaly.mad_outliers(trend))
+def two_methods(spark: SparkSession, folder: str) -> DataFrame:
+    """Marks of the two window methods, which SQL can express."""
+    return anomaly.marks(daily(spark, folder), change_points=False)
 
 
 FLAGS_SQL = """, lim AS (SELECT *, count(value) OVER (PARTITION BY kpi) AS n, count(value) OVER w AS c,
@@ -42,6 +44,10 @@ sup AS (SELECT a.*, b.method AS other_method, b.direction AS other_direction, b.
   FROM own a LEFT JOIN own b ON a.kpi = b.kpi AND abs(a.idx - b.idx) <= 1 AND a.method <> b.method)"""
 
 
+FLAG_TABLE_SQL = """ SELECT kpi, idx, period, value, false AS change_points,
+  bool_or(method = 'control_limit_breaches') AS control_limit_breaches, bool_or(method = 'outliers') AS outliers FROM flags GROUP BY ALL"""
+
+
 def change_points(spark: SparkSession, folder: str) -> DataFrame:
     """Change points of weekly revenue in every slice, with prices half as high again from June 1998 on."""
     repriced = table(spark, folder, "lineitem").withColumn(
@@ -57,10 +63,10 @@ def change_points(spark: SparkSession, folder: str) -> DataFrame:
 def findings_with_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """All three methods on weekly KPIs, as findings that may abstain."""
     lineitem = table(spark, folder, "lineitem")
-    statistics = kpi.period_statistics(lineitem, LINEITEM_KPIS, "l_shipdate", "week")
+    statistics = cut_lineage(kpi.period_statistics(lineitem, LINEITEM_KPIS, "l_shipdate", "week"))
     trend = kpi.trend_points(statistics)
     checked = kpi.validate_kpis(statistics, LINEITEM_KPIS, lineitem.columns)
-    found = anomaly.anomaly_findings(anomaly.detect_anomalies(trend), trend, checked)
+    found = anomaly.anomaly_findings(anomaly.marks(trend), checked)
     scored = findings.apply_confidence(found, 91.5)
     return scored.select(
         "kpi", "finding_key", "finding_type", "period", "direction", "abstained", "message",
@@ -71,11 +77,11 @@ def findings_with_confidence(spark: SparkSession, folder: str) -> DataFrame:
 def finding_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence of the findings of the two window detectors on daily KPIs."""
     lineitem = table(spark, folder, "lineitem")
-    statistics = kpi.period_statistics(lineitem, LINEITEM_KPIS, "l_shipdate")
+    statistics = cut_lineage(kpi.period_statistics(lineitem, LINEITEM_KPIS, "l_shipdate"))
     trend = kpi.trend_points(statistics)
     checked = kpi.validate_kpis(statistics, LINEITEM_KPIS, lineitem.columns)
     scored = findings.score_confidence(
-        anomaly.anomaly_findings(two_methods(trend), trend, checked).withColumn("quality_score", F.lit(91.0))
+        anomaly.anomaly_findings(anomaly.marks(trend, change_points=False), checked).withColumn("quality_score", F.lit(91.0))
     )
     return scored.select(
         "kpi", "method", "idx", "direction", "kpi_status", "period_count",
@@ -105,17 +111,19 @@ QUERIES = {
         lineitem_trend_sql() + FLAGS_SQL + " SELECT * FROM directed",
     ),
     "anomaly_corroboration": Query(
-        lambda s, f: anomaly.corroborated(two_methods(daily(s, f)), daily(s, f)),
+        lambda s, f: anomaly.corroborated(two_methods(s, f)),
         lineitem_trend_sql() + FLAGS_SQL + SUPPORT_SQL + " SELECT * FROM sup",
     ),
     "anomaly_method_counts": Query(
-        lambda s, f: anomaly.method_counts(two_methods(daily(s, f)), ("kpi",)),
+        lambda s, f: anomaly.method_counts(anomaly.flags_of(two_methods(s, f)), ("kpi",)),
         lineitem_trend_sql() + FLAGS_SQL + " SELECT kpi, method, count(*) AS flags FROM flags GROUP BY ALL",
     ),
     "anomaly_flag_table": Query(
-        lambda s, f: anomaly.flag_table(two_methods(daily(s, f))),
-        lineitem_trend_sql() + FLAGS_SQL + """ SELECT kpi, idx, period, value, false AS change_points,
-          bool_or(method = 'control_limit_breaches') AS control_limit_breaches, bool_or(method = 'outliers') AS outliers FROM flags GROUP BY ALL""",
+        lambda s, f: anomaly.flag_table(two_methods(s, f)),
+        lineitem_trend_sql() + FLAGS_SQL + FLAG_TABLE_SQL,
+    ),
+    "anomaly_flag_pivot": Query(
+        lambda s, f: anomaly.pivot_flags(anomaly.flags_of(two_methods(s, f))), lineitem_trend_sql() + FLAGS_SQL + FLAG_TABLE_SQL
     ),
     "anomaly_confidence_levels": Query(finding_levels, lineitem_trend_sql() + FLAGS_SQL + LEVELS_SQL),
     "anomaly_findings": Query(findings_with_confidence),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.model import Kpi
 from kpiloom.operators import contract, kpi, materiality, profile
+from kpiloom.session import cut_lineage
 from workload import Query, small_total, table
 
 LINEITEM_KPIS = [
@@ -108,7 +109,7 @@ def _validation_frame(spark: SparkSession, folder: str) -> DataFrame:
 
 def validation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     frame = _validation_frame(spark, folder)
-    statistics = kpi.period_statistics(frame, _validation_kpis(), "o_orderdate")
+    statistics = cut_lineage(kpi.period_statistics(frame, _validation_kpis(), "o_orderdate"))
     return kpi.validate_kpis(statistics, _validation_kpis(), frame.columns), statistics
 
 
@@ -155,11 +156,11 @@ def batch_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, folder: str) -> DataFrame:
-    """Contracts of orders and lineitem, from their profiles."""
+    """Contracts of orders and lineitem, from their profiles. Written once: they are read as a stored table."""
     profiles = profile.profile(table(spark, folder, "orders"), "orders", ["o_orderkey"]).unionByName(
         profile.profile(table(spark, folder, "lineitem"), "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"])
     )
-    return contract.build_contract(profiles)
+    return cut_lineage(contract.build_contract(profiles))
 
 
 def discovery(spark: SparkSession, folder: str) -> DataFrame:

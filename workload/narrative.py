@@ -9,6 +9,7 @@ from kpiloom.functions import text
 from kpiloom.model import Kpi
 from kpiloom.operators import drivers, findings, kpi, narrative
 from kpiloom.plans import movement
+from kpiloom.session import cut_lineage
 from workload import Query, rounded, table
 from workload.drivers import DIMENSIONS_SQL, ORDER_WATERFALL_SQL, did, order_waterfall
 from workload.kpis import ORDER_KPIS
@@ -19,7 +20,7 @@ QUALITY = 96.5
 def order_findings(spark: SparkSession, folder: str, quality: float | None = QUALITY) -> DataFrame:
     """Scored findings of the monthly order KPIs."""
     orders = table(spark, folder, "orders")
-    statistics = kpi.period_statistics(orders, ORDER_KPIS, "o_orderdate", "month")
+    statistics = cut_lineage(kpi.period_statistics(orders, ORDER_KPIS, "o_orderdate", "month"))
     checked = kpi.validate_kpis(statistics, ORDER_KPIS, orders.columns)
     slices = order_waterfall(spark, folder)
     built = findings.driver_findings(
@@ -59,7 +60,7 @@ def short_history(spark: SparkSession, folder: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     orders = table(spark, folder, "orders").withColumn("late_price", F.when(day.between("2001-07-10", "2001-07-14"), F.col("o_totalprice")))
     late = [Kpi("late_price", "avg", scale=2)]
-    statistics = kpi.period_statistics(orders, late, "o_orderdate")
+    statistics = cut_lineage(kpi.period_statistics(orders, late, "o_orderdate"))
     trend = kpi.trend_points(statistics)
     slices = drivers.decompose(orders, drivers.latest_movements(trend, late), ["o_orderstatus", "o_orderpriority"], "o_orderdate")
     built = findings.driver_findings(
