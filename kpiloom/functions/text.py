@@ -18,6 +18,11 @@ def number(value: Column) -> Column:
     return F.coalesce(F.format_number(value.cast("double"), 2), F.lit("n/a"))
 
 
+def plain(value: Column) -> Column:
+    """A double with up to four decimals and no exponent: ``-1500.0``, ``12.25``."""
+    return F.regexp_replace(value.cast("decimal(34,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def formatted(pattern: str, value: Column) -> Column:
     """One value in a printf pattern; missing stays missing."""
     return F.when(value.isNotNull(), F.format_string(pattern, value))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exact import half_even
-from kpiloom.functions.text import direction, formatted, number, relative_change, signed_percent, stable_id, stable_json
+from kpiloom.functions.text import direction, formatted, number, plain, relative_change, signed_percent, stable_id, stable_json
 
 # The first keyword found in a dimension name decides its driver type.
 DRIVER_KEYWORDS = [
@@ -302,7 +302,7 @@ def prompt(package_column: Column) -> Column:
         F.lit("KPI movement summary: "), field(p["expected_impact"]),
         F.lit("\nDriver: "), field(driver["dimension"]), F.lit(" = '"), field(driver["slice"]),
         F.lit("' (type "), field(driver["type"]), F.lit(", direction "), field(driver["direction"]),
-        F.lit(", contribution "), field(driver["contribution"]), F.lit(", "), field(driver["share_pct"]),
+        F.lit(", contribution "), field(plain(driver["contribution"])), F.lit(", "), field(plain(driver["share_pct"])),
         F.lit("% of total movement)\nControllable lever: "), field(p["controllable_lever"]),
         F.lit("\nCandidate action: "), field(p["candidate_action"]),
         F.lit("\nExpected impact: "), field(p["expected_impact"]),

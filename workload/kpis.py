@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.model import Kpi
-from kpiloom.operators import contract, kpi, materiality, profile
+from kpiloom.operators import contract, drivers, kpi, materiality, profile
 from kpiloom.session import cut_lineage
 from workload import Query, small_total, table
 
@@ -203,6 +203,14 @@ SELECT aggregation || '(' || measure || ') by ' || replace(slice_columns, ',', '
        'o_orderdate' AS time_column FROM defs"""
 
 
+def merged_dimensions(spark: SparkSession, folder: str) -> DataFrame:
+    """Each candidate's own slices followed by the dimensions of all contracts, each once."""
+    columns = table(spark, folder, "orders").columns + table(spark, folder, "lineitem").columns
+    found = kpi.discover_kpis(contracts(spark, folder), columns, "o_orderdate")
+    declared = F.array(*[F.lit(d) for d in ("l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority")])
+    return drivers.merged_dimensions(found, declared).select("name", F.array_join("dimensions", ",").alias("dimensions"))
+
+
 def settings_materiality(spark: SparkSession, folder: str) -> DataFrame:
     """Materiality under each contract's own settings and a feedback multiplier."""
     held = contract.settings(contracts(spark, folder))
@@ -258,5 +266,9 @@ UNION ALL SELECT 'avg(l_discount)', 0, c FROM w UNION ALL SELECT 'rate(l_tax)',
         VALIDATION_SQL + " SELECT count(*) AS processed, CAST(0 AS BIGINT) AS failed, '' AS failures FROM validated",
     ),
     "kpi_discovery": Query(discovery, DISCOVERY_SQL),
+    "merged_dimensions": Query(
+        merged_dimensions, f"""SELECT name, CASE WHEN slice_columns LIKE 'l_%' THEN 'l_returnflag,l_linestatus,o_orderstatus,o_orderpriority'
+          ELSE 'o_orderstatus,o_orderpriority,l_returnflag,l_linestatus' END AS dimensions FROM ({DISCOVERY_SQL})""",
+    ),
     "kpi_bootstrap_interval": Query(bootstrap),
 }

@@ -169,6 +169,28 @@ def package_texts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("kpi", "package_hash", "package_json", narrative.prompt(F.col("package")).alias("prompt"))
 
 
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = narrative.recommendation_packages(order_findings(spark, folder))
+    return rows.select("kpi", narrative.prompt(F.col("package")).alias("prompt"))
+
+
+def _plain(value: str) -> str:
+    return f"regexp_replace(CAST(CAST({value} AS DECIMAL(34,4)) AS VARCHAR), '(\\.\\d+?)0+$', '\\1')"
+
+
+def _quoted(words: str) -> str:
+    return "'" + words.replace("'", "''") + "'"
+
+
+PROMPT_SQL = f"""WITH p AS ({PACKAGE_SQL}), l AS ({_LEADING_SQL} SELECT kpi, slice, direction, contribution, share_pct FROM lead)
+SELECT kpi, {_quoted(narrative.PROMPT_RULES)} || chr(10) || chr(10) || 'Structured facts:' || chr(10) || 'KPI movement summary: ' || expected_impact || chr(10)
+  || 'Driver: ' || dimension || ' = ''' || slice || ''' (type volume, direction ' || direction || ', contribution ' || {_plain('contribution')}
+  || ', ' || {_plain('share_pct')} || '% of total movement)' || chr(10) || 'Controllable lever: ' || lever || chr(10)
+  || 'Candidate action: ' || {_quoted(narrative.LEVERS['volume'][1])} || chr(10) || 'Expected impact: ' || expected_impact || chr(10)
+  || 'Accountable owner: ' || owner || chr(10) || 'Confidence level: ' || level || chr(10) || 'Monitoring plan: ' || monitoring_plan
+  || chr(10) || chr(10) || 'Bulleted recommendation:' AS prompt FROM p JOIN l USING (kpi)"""
+
+
 def rejected(spark: SparkSession, folder: str) -> DataFrame:
     """Why findings without quality report give no package."""
     rows = narrative.rejection_reason(order_findings(spark, folder, None))
@@ -244,6 +266,7 @@ QUERIES = {
         + " SELECT NULL::VARCHAR AS rejection, count(*) AS findings FROM ranked_dims WHERE 0 * 0.30 + 0.55 * 0.30 + 0.25 + 0.7 * 0.15 >= 0.5"
     ),
     "package_texts": Query(package_texts),
+    "package_prompts": Query(prompts, PROMPT_SQL),
     "driver_types": Query(part_types, _types_sql()),
     "answer_bullets": Query(parsed_answers, BULLETS_SQL),
 }
