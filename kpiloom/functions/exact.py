@@ -43,9 +43,9 @@ def without_nan(column: Column, data_type: T.DataType) -> Column:
 
 
 def half_even(column: Column, digits: int) -> Column:
-    """Round a double to some decimals, ties to even."""
-    factor = F.lit(float(10**digits))
-    return F.rint(column * factor) / factor
+    """Round a double to some decimals by its exact binary value, ties to even. For result rows, not for hot paths."""
+    shown = F.replace(F.format_number(column, digits), F.lit(","), F.lit(""))
+    return F.coalesce(shown.try_cast("double"), column)
 
 
 def exact_sum(column: Column, data_type: T.DataType, scale: int = 6) -> Column:

@@ -23,14 +23,15 @@ def plain(value: Column) -> Column:
     return F.regexp_replace(value.cast("decimal(34,4)").cast("string"), r"(\.\d+?)0+$", "$1")
 
 
-def formatted(pattern: str, value: Column) -> Column:
-    """One value in a printf pattern; missing stays missing."""
-    return F.when(value.isNotNull(), F.format_string(pattern, value))
+def fixed(value: Column, digits: int) -> Column:
+    """A fixed number of decimals without separators, rounded by the exact binary value; missing stays missing."""
+    return F.replace(F.format_number(value.cast("double"), digits), F.lit(","), F.lit(""))
 
 
 def signed_percent(fraction: Column) -> Column:
     """A fraction as ``+8.4%``."""
-    return formatted("%+.1f%%", fraction.cast("double") * 100)
+    shown = fixed(fraction.cast("double") * 100, 1)
+    return F.concat(F.when(F.startswith(shown, F.lit("-")), "").otherwise("+"), shown, F.lit("%"))
 
 
 def direction(value: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exact import half_even
-from kpiloom.functions.text import formatted, stable_id
+from kpiloom.functions.text import fixed, stable_id
 from kpiloom.model import MIN_PERIODS
 
 # Fixed values
@@ -146,7 +146,7 @@ def _part(score: Column | float, reason: Column, missing: Column | None = None)
 
 
 def evidence_quality(quality_score: Column) -> Column:
-    shown = formatted("%.1f", quality_score)
+    shown = fixed(quality_score, 1)
     scaled = F.greatest(F.least((quality_score - 40.0) / 60.0, F.lit(1.0)), F.lit(0.0))
     missing = F.when(
         quality_score < 60.0, F.concat(F.lit("underlying data quality above 60 (currently "), shown, F.lit(")"))
@@ -172,10 +172,10 @@ def statistical_strength(p_value: Column, effect_size: Column, statistic: Column
 
     effect = F.abs(effect_size)
     return (
-        F.when(p_value.isNotNull(), graded(formatted("%.4f", p_value), p_value <= P_STRONG, p_value <= P_MODERATE))
+        F.when(p_value.isNotNull(), graded(fixed(p_value, 4), p_value <= P_STRONG, p_value <= P_MODERATE))
         .when(
             effect_size.isNotNull(),
-            graded(formatted("%.4f", effect_size), effect >= EFFECT_STRONG, effect >= EFFECT_MODERATE),
+            graded(fixed(effect_size, 4), effect >= EFFECT_STRONG, effect >= EFFECT_MODERATE),
         )
         .when(statistic.isNotNull(), _part(0.55, F.lit("deterministic method, no inferential p-value")))
         .otherwise(_part(0.0, F.lit("no statistical evidence attached"), F.lit("a significance test or effect size")))
@@ -246,7 +246,7 @@ def score_confidence(findings: DataFrame, p_or_effect: bool = False) -> DataFram
         .when(F.col("composite") >= MEDIUM_FROM, "medium")
         .otherwise("low")
     )
-    shown = formatted("composite evidence score %.2f", F.col("composite"))
+    shown = F.concat(F.lit("composite evidence score "), fixed(F.col("composite"), 2))
     closing = (
         F.when(conflict, F.lit("methods disagree on direction — cannot conclude"))
         .when(F.col("composite") < ABSTAIN_BELOW, F.concat(shown, F.lit(f" below {ABSTAIN_BELOW}")))

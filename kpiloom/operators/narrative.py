@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exact import half_even
-from kpiloom.functions.text import direction, formatted, number, plain, relative_change, signed_percent, stable_id, stable_json
+from kpiloom.functions.text import direction, fixed, number, plain, relative_change, signed_percent, stable_id, stable_json
 
 # The first keyword found in a dimension name decides its driver type.
 DRIVER_KEYWORDS = [
@@ -165,7 +165,7 @@ def driver_bullet(dimension: Column, slice_name: Column, contribution: Column, s
     where = F.coalesce(F.concat(F.lit("'"), slice_name, F.lit("'")), F.lit("an unlabeled slice"))
     implied = F.when(F.coalesce(contribution, F.lit(0.0)) >= 0, "up").otherwise("down")
     share = F.coalesce(
-        F.concat(F.lit(", "), formatted("%.1f%%", share_pct.cast("double")), F.lit(" of the total movement")), F.lit("")
+        F.concat(F.lit(", "), fixed(share_pct, 1), F.lit("%"), F.lit(" of the total movement")), F.lit("")
     )
     sentence = F.concat(
         F.lit("Top driver: "), F.coalesce(dimension, F.lit("unknown dimension")), F.lit(" = "), where,
@@ -239,7 +239,7 @@ def package() -> Column:
     contribution, share = top["contribution"], top["share_pct"]
     impact = F.concat(
         F.lit("'"), top["slice"], F.lit("' in "), dimension, F.lit(" contributed "), number(contribution), F.lit(" ("),
-        formatted("%.1f%%", share), F.lit(" of the "), number(F.coalesce("total_movement", contribution)),
+        fixed(share, 1), F.lit("%"), F.lit(" of the "), number(F.coalesce("total_movement", contribution)),
         F.lit(" total movement) from "), F.coalesce(F.col("before_period").cast("string"), F.lit("previous period")),
         F.lit(" to "), F.coalesce(F.col("after_period").cast("string"), F.lit("latest period")),
     )

@@ -151,3 +151,14 @@ def test_sum_scales(spark, scale):
     values = [round(i * 0.37 - 40, scale) for i in range(500)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
     assert sums(df, T.DoubleType(), scale) == pytest.approx(math.fsum(values), abs=1e-12)
+
+
+def test_rounding_follows_the_exact_binary_value(spark):
+    values = [2.675, 35.05, 0.00015, 2.5, -1234567.891, 0.125, -0.04]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 4):
+        got = [tuple(r) for r in df.select(exact.half_even(F.col("v"), digits), text.fixed(F.col("v"), digits)).collect()]
+        assert [g[0] for g in got] == [round(v, digits) for v in values]
+        if digits:
+            assert [g[1] for g in got] == [f"{v:.{digits}f}" for v in values]
+    assert spark.range(1).select(text.signed_percent(F.lit(-0.083))).first()[0] == "-8.3%"

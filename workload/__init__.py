@@ -18,7 +18,7 @@ class Query:
 
 def rounded(expression: str, digits: int) -> str:
     """SQL of the library's rounding: ties to even."""
-    return f"(round_even(({expression}) * 1e{digits}, 0) / 1e{digits})"
+    return f"CAST(printf('%.{digits}f', CAST({expression} AS DOUBLE)) AS DOUBLE)"
 
 
 def small_total(value: str, condition: str = "") -> str:

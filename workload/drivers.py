@@ -155,7 +155,7 @@ QUERIES = {
     "displayed_sums_reconcile": Query(
         lambda s, f: drivers.display_check(order_waterfall(s, f)),
         ORDER_WATERFALL_SQL + """ SELECT *, abs(displayed_sum - displayed_total) < 1e-3 AS matches FROM (SELECT kpi, dimension,
-          CAST(sum(CAST((round_even(contribution * 1e4, 0) / 1e4) AS DECIMAL(38,4))) AS DOUBLE) AS displayed_sum, max(round_even(total_movement * 1e4, 0) / 1e4) AS displayed_total
+          CAST(sum(CAST(CAST(printf('%.4f', contribution) AS DOUBLE) AS DECIMAL(38,4))) AS DOUBLE) AS displayed_sum, max(CAST(printf('%.4f', total_movement) AS DOUBLE)) AS displayed_total
           FROM drv GROUP BY ALL)""",
     ),
     "diff_in_diff_groups": Query(did_means, DID_SQL.format(groups=_did_groups())),

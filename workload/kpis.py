@@ -85,7 +85,7 @@ MATERIALITY_SQL = """moved AS (
 scored AS (
   SELECT kpi, period, value, baseline, benchmark, round(prior_std, 3) AS prior_std, period_count,
          CASE WHEN value IS NULL OR baseline IS NULL OR period_count < 2 THEN 0.0 ELSE
-           round_even(least(s * (0.5 * least(s / 3.0, 1.0) + 0.5 * CASE WHEN s >= 1.0 THEN 1.0 ELSE s END), 10.0) * 1e4, 0) / 1e4 END AS materiality
+           CAST(printf('%.4f', CAST(least(s * (0.5 * least(s / 3.0, 1.0) + 0.5 * CASE WHEN s >= 1.0 THEN 1.0 ELSE s END), 10.0) AS DOUBLE)) AS DOUBLE) END AS materiality
   FROM moved)"""
 
 
@@ -254,7 +254,7 @@ UNION ALL SELECT 'avg(l_discount)', 0, c FROM w UNION ALL SELECT 'rate(l_tax)',
     ),
     "kpi_materiality_contract_settings": Query(
         settings_materiality,
-        ORDER_TREND_SQL + ", " + SUMMARY_SQL + ", " + MATERIALITY_SQL.replace(", 10.0) * 1e4", ", 10.0) * 0.55 * 1e4")
+        ORDER_TREND_SQL + ", " + SUMMARY_SQL + ", " + MATERIALITY_SQL.replace(", 10.0) AS DOUBLE)", ", 10.0) * 0.55 AS DOUBLE)")
         + " SELECT kpi, materiality FROM scored",
     ),
     "kpi_validation": Query(validated, VALIDATION_SQL + " SELECT * FROM validated"),

@@ -42,7 +42,7 @@ FEEDBACK_SQL = """WITH fb AS (SELECT event_id AS feedback_id, user_id, 'kpi-' ||
   coalesce(CASE WHEN event_id % 13 <> 0 THEN ['price', 'volume', 'mix', 'marketing', 'supply'][user_id % 5 + 1] END, 'other') AS driver_type FROM events),
 adj AS (SELECT user_id, driver_type, count(*) FILTER (verdict = 'confirm') AS confirm, count(*) FILTER (verdict = 'correct') AS correct,
   count(*) FILTER (verdict = 'reject') AS reject FROM fb GROUP BY ALL),
-weights AS (SELECT *, round_even(least(greatest(CAST(1.0 AS DOUBLE) - CAST(0.15 AS DOUBLE) * reject + CAST(0.075 AS DOUBLE) * confirm, 0.25), 1.0) * 1e4, 0) / 1e4 AS multiplier FROM adj)"""
+weights AS (SELECT *, CAST(printf('%.4f', least(greatest(CAST(1.0 AS DOUBLE) - CAST(0.15 AS DOUBLE) * reject + CAST(0.075 AS DOUBLE) * confirm, 0.25), 1.0)) AS DOUBLE) AS multiplier FROM adj)"""
 
 
 def weighted(spark: SparkSession, folder: str) -> DataFrame:
