@@ -43,9 +43,23 @@ def without_nan(column: Column, data_type: T.DataType) -> Column:
 
 
 def half_even(column: Column, digits: int) -> Column:
-    """Round a double to some decimals by its exact binary value, ties to even. For result rows, not for hot paths."""
-    shown = F.replace(F.format_number(column, digits), F.lit(","), F.lit(""))
-    return F.coalesce(shown.try_cast("double"), column)
+    """Round a double to some decimals by its exact binary value, ties to even.
+
+    Scaling may push a value onto a tie it only comes close to. The rounding error of the product, exact by splitting
+    both factors into halves (Dekker 1971), then tells on which side of the tie the value lies.
+    """
+    factor = float(10**digits)
+    scaled = column * F.lit(factor)
+    wide = column * F.lit(134217729.0)
+    high = wide - (wide - column)
+    low = column - high
+    factor_high = (134217729.0 * factor) - (134217729.0 * factor - factor)
+    factor_low = factor - factor_high
+    error = ((high * factor_high - scaled) + high * factor_low + low * factor_high) + low * factor_low
+    tie = F.abs(scaled - F.rint(scaled)) == 0.5
+    aside = F.when(error > 0, F.rint(scaled + 0.25)).when(error < 0, F.rint(scaled - 0.25))
+    whole = F.when(tie & (F.abs(scaled) < _LARGEST_STEPS), F.coalesce(aside, F.rint(scaled))).otherwise(F.rint(scaled))
+    return whole / F.lit(factor)
 
 
 def exact_sum(column: Column, data_type: T.DataType, scale: int = 6) -> Column:

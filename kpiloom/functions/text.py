@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kpiloom.functions.exact import half_even
+
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity|nan)\s*$"
 
 
@@ -15,7 +17,7 @@ def is_numeric_text(column: Column) -> Column:
 
 def number(value: Column) -> Column:
     """``1,234.50``; ``n/a`` when missing."""
-    return F.coalesce(F.format_number(value.cast("double"), 2), F.lit("n/a"))
+    return F.coalesce(F.format_number(half_even(value.cast("double"), 2), 2), F.lit("n/a"))
 
 
 def plain(value: Column) -> Column:
@@ -25,7 +27,7 @@ def plain(value: Column) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """A fixed number of decimals without separators, rounded by the exact binary value; missing stays missing."""
-    return F.replace(F.format_number(value.cast("double"), digits), F.lit(","), F.lit(""))
+    return F.replace(F.format_number(half_even(value.cast("double"), digits), digits), F.lit(","), F.lit(""))
 
 
 def signed_percent(fraction: Column) -> Column:
