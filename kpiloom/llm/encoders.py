@@ -5,6 +5,7 @@ The pieces are cut where the library's own first split always cuts, so the joine
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -18,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LONG_PIECE = 200
 #: A character that stands alone as a word between pieces; its id cannot come from pieces without it.
 MARK = "\x00"
-_STEM = re.compile(r"([^\W_]+)([!-/:-@\[-`{-~].*)?\Z", re.DOTALL)
+_STEM = re.compile(r"([^\W_]+)([!-/:-@\[-`{-~].*)\Z", re.DOTALL)
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -33,6 +34,11 @@ def word_pieces(text: str) -> tuple[str, list[str]]:
     return "", text.replace("\n", " ").split(" ")
 
 
+def _ascii_lower(stem: str) -> str:
+    """Lower case where it is sure to be what a lower-casing tokenizer makes of the stem."""
+    return stem.lower() if stem.isascii() else stem
+
+
 class CachedEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -41,11 +47,12 @@ class CachedEncoder:
     that would grow beyond its bound is emptied first.
     """
 
-    def __init__(self, path: str, spaced: bool, pieces: int = 400_000, stems: int = 700_000):
+    def __init__(self, path: str, spaced: bool, pieces: int = 300_000, stems: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut, self.lead = (spaced_pieces, " ") if spaced else (word_pieces, "")
+        self.fold = str if spaced else _ascii_lower
         self.bounds = {"pieces": pieces, "stems": stems}
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -72,32 +79,44 @@ class CachedEncoder:
 
     def _learn(self, pieces: set[str]) -> list[str]:
         """Make sure that all pieces are known; return those to be forgotten after this call."""
-        new = list(pieces - self.known.keys())
-        if len(self.known) + len(new) > self.bounds["pieces"]:
-            self.known.clear()
+        known, stems = self.known, self.stems
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > self.bounds["pieces"]:
+            known.clear()
             new = list(pieces)
-        cut, other = [], []
+        bare, cut, other, fold = [], [], [], self.fold
         for piece in new:
-            found = _STEM.match(piece) if "<|" not in piece and MARK not in piece else None
-            if found:
-                cut.append((piece, found[1], found[2] or ""))
+            if piece.isalnum():
+                bare.append((piece, fold(piece)))
+            elif "<|" not in piece and MARK not in piece and (found := _STEM.match(piece)):
+                cut.append((piece, fold(found[1]), found[2]))
             else:
                 other.append(piece)
-        stems, tails = {c[1] for c in cut}, [t for t in {c[2] for c in cut} if t]
-        missing = list(stems - self.stems.keys())
-        self._learn_stems(missing)
-        if not stems <= self.stems.keys():  # emptied meanwhile
-            self._learn_stems(list(stems - self.stems.keys()))
-        tail_ids = dict(zip(tails, self._alone(tails), strict=True)) if tails else {}
-        tail_ids[""] = b""
-        self.known.update((piece, self.stems[stem] + tail_ids[tail]) for piece, stem, tail in cut)
-        self.known.update(zip(other, self._alone([self.lead + p for p in other]), strict=True))
-        for stem in stems:
+        wanted = {c[1] for c in bare}.union(c[1] for c in cut)
+        self._learn_stems([w for w in wanted if w not in stems])
+        if lost := [w for w in wanted if w not in stems]:  # emptied meanwhile
+            self._learn_stems(lost)
+        tails = list({c[2] for c in cut})
+        tail_ids = dict(zip(tails, self._alone(tails), strict=True))
+        known.update((piece, stems[stem]) for piece, stem in bare)
+        known.update((piece, stems[stem] + tail_ids[tail]) for piece, stem, tail in cut)
+        known.update(zip(other, self._alone([self.lead + p for p in other]), strict=True))
+        for stem in wanted:
             if len(stem) > LONG_PIECE:
-                del self.stems[stem]
+                del stems[stem]
         return [p for p in new if len(p) > LONG_PIECE]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        collecting = gc.isenabled()
+        gc.disable()  # only strings and bytes are made here, but in numbers that would set the collector off again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         heads = self._alone([head for head, _ in cut])
         long = self._learn(set().union(*(tail for _, tail in cut)))

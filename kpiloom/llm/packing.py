@@ -27,7 +27,7 @@ def encoded_partitions(documents: DataFrame, tokenizer: str, end_id: int, spaced
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, before = TaskContext.get().partitionId(), 0
-        for batch in sized_slices(batches, "text", 8_000_000):
+        for batch in sized_slices(batches, "text", 4_000_000):
             ids = [i + end for i in encoder(tokenizer, spaced).encode([t or "" for t in batch.column("text").to_pylist()])]
             starts, sizes = [], [len(i) // 4 for i in ids]
             for n in sizes:

@@ -46,7 +46,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for selector in range(14, 0, -1):
         count = COUNTS[selector]
         small = need <= selector
-        if np.count_nonzero(small[:n]) == 0 or n == 0:
+        if n == 0 or np.count_nonzero(small[:n]) < min(count, n):
             break
         run = np.concatenate(([0], np.cumsum(~small, dtype=np.int32)))
         best[run[count : count + n] == run[:n]] = selector
@@ -111,10 +111,24 @@ class FileWritten(WriterCommitMessage):
 
 
 class IdsWriter(DataSourceArrowWriter):
-    """Each task writes one file under a name of its own attempt; only files in the index, written on commit, count."""
+    """Each task writes one file under a name of its own attempt; only files in the index, written on commit, count.
 
-    def __init__(self, path: str):
-        self.path = path
+    Rows have ``ids``, or ``text`` if a tokenizer is given; a null of either is empty.
+    """
+
+    def __init__(self, path: str, tokenizer: str | None = None, spaced: bool = False, end_id: int | None = None):
+        self.path, self.tokenizer, self.spaced = path, tokenizer, spaced
+        self.end = b"" if end_id is None else struct.pack("<I", end_id)
+
+    def ids_of(self, batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+        if self.tokenizer is None:
+            for key, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                yield key, ids or b""
+            return
+        for part in sized_slices([batch], "text", 4_000_000):
+            encoded = encoder(self.tokenizer, self.spaced).encode([t or "" for t in part.column("text").to_pylist()])
+            for key, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                yield key, ids + self.end
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> FileWritten:
         context = TaskContext.get()
@@ -142,8 +156,8 @@ class IdsWriter(DataSourceArrowWriter):
                 waiting, held = [ids[done:].copy()], len(ids) - done
 
             for batch in iterator:
-                for key, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                    values = np.frombuffer(ids.as_buffer() if ids.is_valid else b"", "<u4")
+                for key, ids in self.ids_of(batch):
+                    values = np.frombuffer(ids, "<u4")
                     keys.append(key)
                     lengths.append(len(values))
                     waiting.append(values)
@@ -250,20 +264,9 @@ class TokenIdsSource(DataSource):
         return IdsReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> IdsWriter:
-        return IdsWriter(self.options["path"])
-
-
-def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, spaced: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of key and ids (unsigned 32-bit, little-endian) of each whole text with the end id behind; null is empty."""
-    end = struct.pack("<I", end_id)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_slices(batches, "text", 8_000_000):
-            ids = encoder(tokenizer, spaced).encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([i + end for i in ids], pa.binary())], names=["doc_id", "ids"])
-
-    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id bigint, ids binary")
+        end = self.options.get("endId")
+        spaced = self.options.get("spaced", "false").lower() == "true"
+        return IdsWriter(self.options["path"], self.options.get("tokenizer"), spaced, None if end is None else int(end))
 
 
 def in_key_order(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,11 +275,16 @@ def in_key_order(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return documents.repartitionByRange(F.col(key), tie).sortWithinPartitions(F.col(key), tie)
 
 
-def write_ids(encoded: DataFrame, path: str) -> str:
-    """Write rows of ``doc_id`` and ``ids``, in their order, to a new folder."""
-    encoded.sparkSession.dataSource.register(TokenIdsSource)
+def write_ids(rows: DataFrame, path: str, tokenizer: str | None = None, spaced: bool = False, end_id: int | None = None) -> str:
+    """Write rows of ``doc_id`` and ``ids``, in their order, to a new folder.
+
+    With a tokenizer the rows have ``text`` instead, which the writing task encodes, with the end id behind each document.
+    """
+    rows.sparkSession.dataSource.register(TokenIdsSource)
     path = path if ":" in path.split("/")[0] else f"file://{path}"
-    encoded.select("doc_id", "ids").write.format("simple8b").mode("append").save(path)
+    options = {} if tokenizer is None else {"tokenizer": tokenizer, "spaced": str(spaced).lower(), **({} if end_id is None else {"endId": str(end_id)})}
+    value = F.col("ids") if tokenizer is None else F.col("text").cast("string").alias("text")
+    rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), value).write.format("simple8b").options(**options).mode("append").save(path)
     return path
 
 
