@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are compared as bytes after lower-casing A-Z and reducing white space to single spaces. If an item of n bytes lies in a
+Texts are compared as bytes in lower case, with ASCII punctuation and white space reduced to single spaces. If an item of n bytes lies in a
 document with at most k edits, the two share at least n - q + 1 - k q of the item's q-grams, on diagonals that differ by at most
 k. So shared q-grams are counted in diagonal bands of width 2 (k + 1), each overlapping the next by half; bands that reach the
 bound are verified by banded alignment of the item against the region.
@@ -24,12 +24,13 @@ EDIT_RATE = 0.06
 #: Bytes of benchmark text that one pass over the documents compares; more items are compared in further passes.
 BLOCK_BYTES = 16_000_000
 _BITS = 22
-_UPPER = bytes(range(65, 91))
-_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_TO_BLANK = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
 def normal(text: str) -> bytes:
-    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_LOWER).split())
+    """Lower case, ASCII punctuation as white space, and one space between words."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_TO_BLANK).split())
 
 
 def budget(n: int, q: int = Q, rate: float = EDIT_RATE) -> int:

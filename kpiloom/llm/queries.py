@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import chat, counts, decontam, packing, quality, simple8b, warc
+from kpiloom.llm import chat, counts, decontam, minwise, packing, pii, quality, simple8b, warc
 from kpiloom.llm.common import shared_path
 
 
@@ -69,19 +69,29 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near duplicates among all documents."""
+    return minwise.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics of all documents and the verdict of trees fitted to the labelled ones."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return quality.score(documents, quality.fit(documents, table(spark, folder, "labels")))
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.report(pii.find(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in all documents."""
     return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_warc, op3_token_counts, op4_token_ids, op5_packing, op7_quality_rules, op9_decontamination)
+    f.__name__: f for f in (op1_chat_format, op2_warc, op3_token_counts, op4_token_ids, op5_packing, op6_near_dedup, op7_quality_rules, op8_pii, op9_decontamination)
 }
 SQL: dict[str, str] = {
     "op1_chat_format": r"""
