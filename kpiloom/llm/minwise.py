@@ -4,9 +4,9 @@ Texts with the same words form one class, and one document of each class is join
 tokens of its shingle set. In each of several independent trees a node chooses one or two signature positions by its own path
 and branches its documents by their tokens there. Similar documents share most tokens and so stay together on some path; all
 others fall apart at once. Nodes with few documents are compared exhaustively. In a larger node all documents are compared
-with its first one; if few are not linked to it, these are compared with all and the node is done, since the linked ones are one
-component already. Else the node branches on; nodes left at the last level are finished in the same exact way, whatever their
-size. Links are confirmed on the full shingle sets, and components of links are found by repeated joins.
+with one of them, its pivot; if few are still in other components than the pivot, these are compared with all and the node is
+done, since the others are one component already. Else the node branches on; nodes left at the last level are finished in the
+same exact way, whatever their size. Links are confirmed on the full shingle sets, and components of links are found by repeated joins.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from kpiloom.llm.common import sized_slices, written
 
 SHINGLE, PERCENT = 4, 80
-SIGNATURE, TREES, LEVELS = 64, 10, 5
+SIGNATURE, TREES, LEVELS = 64, 10, 10
 #: Documents of a node that are compared all with all.
-LEAF = 12
-#: Documents not linked to the first one that are compared with their whole node; more let the node branch on.
+LEAF = 24
+#: Documents outside the pivot's component that are compared with their whole node; more let the node branch on.
 LEFT_OVER = 8
 #: Tokens that two signatures must share for an exact comparison: five standard deviations below what the limit makes likely.
 MIN_SHARED = int(SIGNATURE * PERCENT / 100 - 5 * (SIGNATURE * PERCENT * (100 - PERCENT)) ** 0.5 / 100)
@@ -129,10 +129,11 @@ def _roots(representatives: DataFrame, trees: int) -> DataFrame:
     return chosen.select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), "id")
 
 
-def _pairs_of(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs (``a``, ``b``) with ``a`` smaller of documents that share a node."""
-    both = a.select("node", F.col("id").alias("x")).join(b.select("node", F.col("id").alias("y")), "node").filter("x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _pairs_of(a: DataFrame, b: DataFrame, meet) -> DataFrame:
+    """Pairs (``a``, ``b``) with ``a`` smaller of documents that share a node and satisfy ``meet(x, y)``."""
+    x, y = a.select("node", "id", "component").alias("x"), b.select("node", "id", "component").alias("y")
+    both = x.join(y, (F.col("x.node") == F.col("y.node")) & meet)
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame) -> DataFrame:
@@ -169,29 +170,33 @@ def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, leve
     ``representatives`` has ``id`` and ``tokens`` of documents with different words, ``texts`` their ``id`` and ``text``.
     """
     spark = representatives.sparkSession
-    rows = _roots(representatives, trees)
-    found = spark.createDataFrame([], "a bigint, b bigint")
+    rows, found = _roots(representatives, trees), spark.createDataFrame([], "a bigint, b bigint")
+    apart_in = lambda: F.col("x.component") != F.col("y.component")
     for level in range(levels):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
-        rows = written(rows.join(sizes, "node"), "path-nodes")
+        # the smallest document is the first pivot of all trees, so that they share its pairs; deeper nodes draw theirs
+        order = F.col("id") if level == 0 else F.xxhash64("node", "id")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(order, "id")).alias("pivot")).filter("n > 1")
+        rows = written(rows.join(sizes, "node").withColumn("component", F.col("id")), "path-nodes")
         small, large = rows.filter(F.col("n") <= LEAF), rows.filter(F.col("n") > LEAF)
-        star = large.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        pairs = _pairs_of(small, small).union(star).distinct().join(found, ["a", "b"], "left_anti")
-        new = written(_confirmed(pairs, representatives, texts), "path-links")
-        found = found.union(new)
+        star = large.filter("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+        pairs = _pairs_of(small, small, F.col("x.id") < F.col("y.id")).union(star).distinct().join(found, ["a", "b"], "left_anti")
+        found = found.union(written(_confirmed(pairs, representatives, texts), "path-links"))
         if large.isEmpty():
             break
-        linked = found.select(F.col("a").alias("first"), F.col("b").alias("id")).withColumn("linked", F.lit(True))
-        apart = large.filter("id <> first").join(linked, ["first", "id"], "left").filter("linked IS NULL").select("node", "id", "n", "first")
+        known = components(found)
+        placed = large.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pivots = known.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
+        placed = written(placed.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")), "path-large")
+        apart = placed.filter("component <> main")
         left = apart.groupBy("node").agg(F.count(F.lit(1)).alias("left_over"))
-        done = left if level == levels - 1 else left.filter(F.col("left_over") <= LEFT_OVER)
-        rest = written(apart.join(done.select("node"), "node", "left_semi"), "path-rest")
-        pairs = _pairs_of(rest, large.select("node", "id")).join(found, ["a", "b"], "left_anti")
+        last = level == levels - 1
+        rest = apart if last else apart.join(left.filter(F.col("left_over") <= LEFT_OVER), "node", "left_semi")
+        pairs = _pairs_of(rest, placed, apart_in()).join(found, ["a", "b"], "left_anti")
         found = found.union(written(_confirmed(pairs, representatives, texts), "path-links"))
         on = left.filter(F.col("left_over") > LEFT_OVER).select("node")
-        if level == levels - 1 or on.isEmpty():
+        if last or on.isEmpty():
             break
-        rows = _deeper(large.join(on, "node", "left_semi").select("node", "id"), representatives)
+        rows = _deeper(placed.join(on, "node", "left_semi").select("node", "id"), representatives)
     return found.distinct()
 
 

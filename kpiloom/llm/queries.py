@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import chat, counts, decontam, minwise, packing, pii, quality, simple8b, warc
+from kpiloom.llm import chat, counts, decontam, minwise, mixing, packing, pii, quality, simple8b, warc
 from kpiloom.llm.common import shared_path
 
 
@@ -90,8 +90,14 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return mixing.score(documents, mixing.train(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_warc, op3_token_counts, op4_token_ids, op5_packing, op6_near_dedup, op7_quality_rules, op8_pii, op9_decontamination)
+    f.__name__: f for f in (op1_chat_format, op2_warc, op3_token_counts, op4_token_ids, op5_packing, op6_near_dedup, op7_quality_rules, op8_pii, op9_decontamination, op10_lm_scores)
 }
 SQL: dict[str, str] = {
     "op1_chat_format": r"""
