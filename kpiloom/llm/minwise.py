@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kpiloom.llm.common import sized_slices, written
 
 SHINGLE, PERCENT = 4, 80
-SIGNATURE, TREES, LEVELS = 64, 10, 10
+SIGNATURE, TREES, LEVELS = 64, 10, 6
 #: Documents of a node that are compared all with all.
 LEAF = 24
 #: Documents outside the pivot's component that are compared with their whole node; more let the node branch on.
