@@ -219,7 +219,7 @@ def _replacing(kind: str, pattern: str, wanted: Column) -> Callable[[Column], Co
         def piece(gap: Column, i: Column) -> Column:
             hit = F.get(p["hits"], i)
             found = F.array_contains(wanted, hit) if kind == DISCOVERED else _valid(kind, hit)
-            return F.concat(gap, F.coalesce(F.when(found, F.lit(f"[{kind.upper()}]")).otherwise(hit), F.lit("")))
+            return F.concat(gap, F.when(hit.isNull(), "").when(found, f"[{kind.upper()}]").otherwise(hit))
 
         return F.array_join(F.transform(p["gaps"], piece), "")
 
