@@ -28,9 +28,10 @@ def semantic_role(detected_role: Column) -> Column:
     return F.coalesce(F.try_element_at(mapping, detected_role), F.lit("dimension"))
 
 
-def default_aggregation(name: Column, sample_numbers: Column) -> Column:
-    """Ratio-like names and samples within [0, 1] average, ``rate`` names are rates, everything else sums."""
-    unit = (F.size(sample_numbers) >= 2) & F.forall(sample_numbers, lambda x: x.between(0.0, 1.0))
+def default_aggregation(name: Column, values: Column, smallest: Column, largest: Column) -> Column:
+    """Ratio-like names and columns whose values, two or more, all lie within [0, 1] average, ``rate`` names are rates,
+    everything else sums. The whole column decides, not its first values."""
+    unit = (values >= 2) & (smallest >= 0.0) & (largest <= 1.0)
     return (
         F.when(_name_has(name, AVERAGE_HINTS), "avg")
         .when(F.contains(name, F.lit(RATE_HINT)), "rate")
@@ -51,7 +52,9 @@ def classified(profiles: DataFrame) -> DataFrame:
     """Profile rows with their semantic role and, for measures, the default aggregation."""
     role = semantic_role(F.col("detected_role"))
     return profiles.withColumn("role", role).withColumn(
-        "aggregation", F.when(role == "measure", default_aggregation(F.col("name"), F.col("sample_numbers")))
+        "aggregation", F.when(role == "measure", default_aggregation(
+            F.col("name"), F.col("row_count") - F.col("null_count"), F.col("min_number"), F.col("max_number"),
+        ))
     )
 
 

@@ -56,15 +56,14 @@ def with_multiplier(rows: DataFrame, weights: DataFrame, keys: tuple[str, ...] =
     )
 
 
-def target_driver_types(findings: DataFrame, recent: int = 5) -> DataFrame:
-    """Driver type of each KPI from the newest of its recent findings that has a dimension, ``other`` without one.
+def target_driver_types(findings: DataFrame) -> DataFrame:
+    """Driver type of each KPI from the newest of its findings that has a dimension, ``other`` if none has one.
 
-    Each task keeps a few rows per KPI before the shuffle.
+    Equal times go by the larger finding id. One row per KPI and task is shuffled, whatever the number of findings.
     """
-    place = F.row_number().over(Window.partitionBy("user_id", "kpi").orderBy(F.desc("created_at"), "finding_id"))
-    last = findings.withColumn("_n", place).filter(F.col("_n") <= recent)
-    usable = F.when(F.coalesce(F.col("dimension"), F.lit("")) != "", F.col("_n"))
-    chosen = last.groupBy("user_id", "kpi").agg(F.min_by("dimension", usable).alias("dimension"))
+    usable = F.coalesce(F.col("dimension"), F.lit("")) != ""
+    newest = F.when(usable, F.struct("created_at", "finding_id"))
+    chosen = findings.groupBy("user_id", "kpi").agg(F.max_by("dimension", newest).alias("dimension"))
     return chosen.select("user_id", "kpi", F.when(F.col("dimension").isNull(), OTHER).otherwise(driver_type(F.col("dimension"))).alias("driver_type"))
 
 

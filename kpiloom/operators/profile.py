@@ -66,12 +66,17 @@ def _exact_statistics(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(parses_as(F.col("t"), name), F.col("n"))), F.lit(0)) if text_columns else F.lit(0)
         for name, _, _ in DATE_FORMATS
     ]
+    numeric = [i for i, f in enumerate(fields) if is_numeric(f.dataType)]
+    own = F.coalesce(F.col("r"), F.col("w").cast("double"), F.col("t").try_cast("double"))
+    number = F.when(F.col("position").isin(numeric), own)
     return counted.groupBy("position").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("value_count"),
         F.count(F.when(present, F.lit(1))).alias("cardinality"),
         F.min("w").alias("min_whole"),
         F.max("w").alias("max_whole"),
+        F.min(number).alias("min_number"),
+        F.max(number).alias("max_number"),
         F.array(*hits).alias("format_hits"),
     )
 
@@ -83,6 +88,7 @@ def _approximate_statistics(df: DataFrame) -> DataFrame:
     for i, f in enumerate(df.schema.fields):
         c = without_nan(F.col(f"`{f.name}`"), f.dataType)
         whole = c.cast("bigint") if _kind(f.dataType) == "int" else F.lit(None).cast("bigint")
+        number = c.cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")
         text = isinstance(f.dataType, T.StringType)
         hits = [F.count_if(parses_as(c, name)) if text else F.lit(0).cast("bigint") for name, _, _ in DATE_FORMATS]
         aggregates.append(
@@ -91,6 +97,8 @@ def _approximate_statistics(df: DataFrame) -> DataFrame:
                 F.approx_count_distinct(c).alias("cardinality"),
                 F.min(whole).alias("min_whole"),
                 F.max(whole).alias("max_whole"),
+                F.min(number).alias("min_number"),
+                F.max(number).alias("max_number"),
                 F.array(*hits).alias("format_hits"),
             ).alias(f"s{i}")
         )
@@ -187,7 +195,7 @@ def profile(df: DataFrame, source_id: str = "", sample_order: Sequence[str] = ()
         "cardinality",
         half_even(F.col("cardinality_ratio_exact"), 4).alias("cardinality_ratio"),
         ((F.col("row_count") > 0) & (F.col("cardinality") == F.col("row_count"))).alias("is_unique"),
-        "detected_role", "date_format", "sample_values", "sample_numbers",
+        "detected_role", "date_format", "sample_values", "sample_numbers", "min_number", "max_number",
     )
 
 

@@ -40,17 +40,20 @@ def _typed(name: str, counts: dict) -> Column:
     return column
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a header. Missing-value texts become null before types are inferred, so they never force text.
 
+    A doubled quote inside quotes is a quote. ``multi_line`` also reads line breaks inside quotes, at the price that a file
+    is then read by one task.
+
     Type inference costs one extra pass; give ``schema`` for large inputs.
     """
     if schema is not None:
         text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-        raw = spark.read.csv(path, header=True, schema=text, enforceSchema=False)
+        raw = spark.read.csv(path, header=True, schema=text, enforceSchema=False, escape='"', multiLine=multi_line)
         cells = [_missing_to_null(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
         return standardize_columns(raw.select(*cells))
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
     raw = raw.select(*[_missing_to_null(c).alias(c) for c in raw.columns])
     aggregates = []
     for i, c in enumerate(raw.columns):

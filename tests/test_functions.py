@@ -164,3 +164,10 @@ def test_rounding_follows_the_exact_binary_value(spark):
             shown = [(g[1], f"{v:.{digits}f}") for g, v in zip(got, values) if abs(v) < 1e15]
             assert [a for a, _ in shown] == [b for _, b in shown]
     assert spark.range(1).select(text.signed_percent(F.lit(-0.083))).first()[0] == "-8.3%"
+
+
+def test_exact_sum_of_large_longs_passes_the_range_of_a_long(spark):
+    rows = spark.range(3_000_000).select(F.lit(4 * 10**18).alias("v"))
+    assert rows.agg(exact.exact_sum(F.col("v"), T.LongType()).alias("s")).first().s == 1.2e25
+    mixed = spark.createDataFrame([(2**62,), (-(2**62),), (-5,), (7,)], "v bigint")
+    assert mixed.agg(exact.exact_sum(F.col("v"), T.LongType()).alias("s")).first().s == 2.0

@@ -80,3 +80,12 @@ def test_required_fields_and_first_settings(spark):
         built.withColumn("source_id", F.lit("b")).withColumn("materiality_weights", F.from_json(F.lit('{"statistical":0.9,"business":0.1}'), weights))
     )
     assert records(contract.settings(two)) == [{"threshold": 1.0, "weight_statistical": 0.9, "weight_business": 0.1}]
+
+
+def test_whole_column_decides_between_sum_and_average(spark):
+    """Zeros in front do not turn an amount into a ratio."""
+    values = [0.0] * 5 + [5000.0 + i for i in range(195)]
+    rows = [(i, v, (i % 11) / 10) for i, v in enumerate(values)]
+    profiles = profile.profile(spark.createDataFrame(rows, "day bigint, revenue double, part double"), "s", ["day"])
+    got = {r.name: r.aggregation for r in contract.classified(profiles).collect()}
+    assert got["revenue"] == "sum" and got["part"] == "avg"

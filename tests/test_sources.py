@@ -80,3 +80,9 @@ def test_streaming_versions_resolve_to_latest(spark, tmp_path):
         datasets.append_rows(spark.createDataFrame(batch, schema).coalesce(1), inbox)
         event_log.version_stream(spark.readStream.schema(schema).parquet(inbox), out, check).awaitTermination()
     assert sorted(tuple(r) for r in event_log.current_rows(spark, out, ["k"], "at").collect()) == [(1, "c", 2), (2, "b", 5)]
+
+
+def test_csv_keeps_doubled_quotes_and_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,said\n1,"he said ""hi"", ok"\n2,"two\nlines"\n')
+    rows = readers.load_csv(spark, str(tmp_path / "q.csv"), multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'he said "hi", ok'), (2, "two\nlines")]

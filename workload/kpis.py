@@ -179,18 +179,18 @@ DISCOVERY_SQL = """WITH ints AS (
   UNION ALL SELECT 'lineitem', 2, 'l_suppkey', count(DISTINCT l_suppkey), count(l_suppkey), min(l_suppkey), max(l_suppkey) FROM lineitem
   UNION ALL SELECT 'lineitem', 3, 'l_linenumber', count(DISTINCT l_linenumber), count(l_linenumber), min(l_linenumber), max(l_linenumber) FROM lineitem),
 samples AS (
-  SELECT name, count(*) FILTER (v BETWEEN 0 AND 1) = count(*) AND count(*) >= 2 AS unit FROM (
-    SELECT * FROM (SELECT 'l_orderkey' AS name, CAST(l_orderkey AS DOUBLE) AS v FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'l_partkey' AS name, CAST(l_partkey AS DOUBLE) AS v FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'l_suppkey' AS name, CAST(l_suppkey AS DOUBLE) AS v FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'l_linenumber' AS name, CAST(l_linenumber AS DOUBLE) AS v FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'l_quantity' AS name, CAST(l_quantity AS DOUBLE) AS v FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'l_extendedprice' AS name, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'l_discount' AS name, CAST(l_discount AS DOUBLE) AS v FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'l_tax' AS name, CAST(l_tax AS DOUBLE) AS v FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'o_orderkey', CAST(o_orderkey AS DOUBLE) AS v FROM orders ORDER BY o_orderkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'o_custkey', CAST(o_custkey AS DOUBLE) AS v FROM orders ORDER BY o_orderkey, v LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'o_totalprice', CAST(o_totalprice AS DOUBLE) AS v FROM orders ORDER BY o_orderkey, v LIMIT 5)) GROUP BY name),
+  SELECT name, count(*) FILTER (v BETWEEN 0 AND 1) = count(v) AND count(v) >= 2 AS unit FROM (
+    SELECT 'l_orderkey' AS name, CAST(l_orderkey AS DOUBLE) AS v FROM lineitem
+    UNION ALL SELECT 'l_partkey' AS name, CAST(l_partkey AS DOUBLE) AS v FROM lineitem
+    UNION ALL SELECT 'l_suppkey' AS name, CAST(l_suppkey AS DOUBLE) AS v FROM lineitem
+    UNION ALL SELECT 'l_linenumber' AS name, CAST(l_linenumber AS DOUBLE) AS v FROM lineitem
+    UNION ALL SELECT 'l_quantity' AS name, CAST(l_quantity AS DOUBLE) AS v FROM lineitem
+    UNION ALL SELECT 'l_extendedprice' AS name, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem
+    UNION ALL SELECT 'l_discount' AS name, CAST(l_discount AS DOUBLE) AS v FROM lineitem
+    UNION ALL SELECT 'l_tax' AS name, CAST(l_tax AS DOUBLE) AS v FROM lineitem
+    UNION ALL SELECT 'o_orderkey', CAST(o_orderkey AS DOUBLE) AS v FROM orders
+    UNION ALL SELECT 'o_custkey', CAST(o_custkey AS DOUBLE) AS v FROM orders
+    UNION ALL SELECT 'o_totalprice', CAST(o_totalprice AS DOUBLE) AS v FROM orders) GROUP BY name),
 measures AS (
   SELECT source, name FROM ints WHERE NOT (k > 0.95 * n AND lo >= 0 AND hi - lo <= 2 * n)
   UNION ALL SELECT 'orders', 'o_totalprice'

@@ -173,8 +173,8 @@ QUERIES = {
     "target_driver_types": Query(
         lambda s, f: feedback.target_driver_types(findings_log(s, f)),
         """WITH l AS (SELECT user_id, event_id % 3 AS kpi, CASE event_type WHEN 'purchase' THEN 'volume' WHEN 'view' THEN 'region' END AS t,
-            row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, event_id) AS n FROM events)
-           SELECT user_id, kpi, coalesce(arg_min(t, n) FILTER (t IS NOT NULL), 'other') AS driver_type FROM l WHERE n <= 5 GROUP BY ALL""",
+            row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, event_id DESC) AS n FROM events)
+           SELECT user_id, kpi, coalesce(arg_min(t, n) FILTER (t IS NOT NULL), 'other') AS driver_type FROM l GROUP BY ALL""",
     ),
     "stage_latencies": Query(
         lambda s, f: telemetry.stage_latencies(timings(s, f)),
