@@ -26,6 +26,8 @@ SIGNATURE, TREES, LEVELS = 64, 10, 6
 LEAF = 24
 #: Documents outside the pivot's component that are compared with their whole node; more let the node branch on.
 LEFT_OVER = 8
+#: At most so many ids are sent to all tasks.
+SENT_IDS = 500_000
 #: Tokens that two signatures must share for an exact comparison: five standard deviations below what the limit makes likely.
 MIN_SHARED = int(SIGNATURE * PERCENT / 100 - 5 * (SIGNATURE * PERCENT * (100 - PERCENT)) ** 0.5 / 100)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -145,7 +147,14 @@ def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame) -
     near = pairs.join(representatives.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     near = near.join(representatives.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    near = near.filter(shared >= MIN_SHARED).select("a", "b")
+    near = written(near.filter(shared >= MIN_SHARED).select("a", "b"), "path-pairs")
+    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    n = ids.count()
+    if n == 0:
+        return near
+    # few ids go to the scan of the texts, so that only needed texts are shuffled; more than the bound are joined by a shuffle
+    needed = texts.join(F.broadcast(ids) if n <= SENT_IDS else ids, "id", "left_semi")
+    texts = needed.groupBy("id").agg(F.min("text").alias("text"))  # repeated keys count as one document
     rows = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -237,7 +246,6 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         members.filter("doc_id = id").groupBy("id").agg(F.min("tokens").alias("tokens")), "representatives",
     )
     texts = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(representatives.select("id"), "id", "left_semi")
     joined = components(links(representatives, texts, trees))
     of_class = classes.join(joined, "id", "left").select("words", F.coalesce("component", "id").alias("component_id"))
     rows = described.join(of_class, "words", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
