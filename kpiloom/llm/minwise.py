@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 from kpiloom.llm.common import sized_slices, written
 
 SHINGLE, PERCENT = 4, 80
-SIGNATURE, TREES, LEVELS = 64, 10, 6
+SIGNATURE, TREES = 64, 10
+#: Branchings of a large node between one comparison and the next.
+STEPS = (2, 4, 4)
 #: Documents of a node that are compared all with all.
 LEAF = 24
 #: Documents outside the pivot's component that are compared with their whole node; more let the node branch on.
 LEFT_OVER = 8
+#: Pairs that one task confirms at a time.
+TASK_PAIRS = 2_000
 #: At most so many ids are sent to all tasks.
 SENT_IDS = 500_000
 #: Tokens that two signatures must share for an exact comparison: five standard deviations below what the limit makes likely.
@@ -115,57 +119,62 @@ def _branches(path: Column) -> Column:
     return F.when(second, F.array(draw(0), draw(1))).otherwise(F.array(draw(0)))
 
 
-def _deeper(rows: DataFrame, representatives: DataFrame) -> DataFrame:
-    """Branch rows of (``node``, ``id``) by the tokens at the positions that their nodes choose."""
-    with_tokens = rows.join(representatives.select("id", "tokens"), "id")
-    place = F.explode(F.array_distinct(_branches(F.col("node")))).alias("place")
-    chosen = with_tokens.select("node", "id", "tokens", place)
-    return chosen.select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), "id")
+def _branched(rows: DataFrame, steps: int = 1) -> DataFrame:
+    """Branch rows of (``node``, ``id``, ``size``, ``tokens``) by the tokens at the positions that their nodes choose, some steps at once."""
+    for _ in range(steps):
+        chosen = rows.select("node", "id", "size", "tokens", F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
+        rows = chosen.select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), "id", "size", "tokens")
+    return rows.select("node", "id", "size")
 
 
 def _roots(representatives: DataFrame, trees: int) -> DataFrame:
     """The first branching of every tree, which needs no join."""
     tree = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
-    rows = representatives.select("id", "tokens", tree).select("id", "tokens", F.xxhash64(F.lit("tree"), "tree").alias("node"))
-    chosen = rows.select("id", "tokens", "node", F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
-    return chosen.select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), "id")
+    return _branched(representatives.select("id", "size", "tokens", tree).select(F.xxhash64(F.lit("tree"), "tree").alias("node"), "id", "size", "tokens"))
 
 
-def _pairs_of(a: DataFrame, b: DataFrame, meet) -> DataFrame:
-    """Pairs (``a``, ``b``) with ``a`` smaller of documents that share a node and satisfy ``meet(x, y)``."""
-    x, y = a.select("node", "id", "component").alias("x"), b.select("node", "id", "component").alias("y")
-    both = x.join(y, (F.col("x.node") == F.col("y.node")) & meet)
+def _sizes_allow(x: Column, y: Column) -> Column:
+    """Whether sets of these sizes can be similar enough at all: the smaller one would have to lie whole in the larger."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
+def _pairs_of(a: DataFrame, b: DataFrame, meet: Column) -> DataFrame:
+    """Pairs (``a`` < ``b``) of documents that share a node, lie in different components so far and satisfy ``meet``."""
+    columns = ("node", "id", "size", "component")
+    x, y = a.select(*columns).alias("x"), b.select(*columns).alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & _sizes_allow(F.col("x.size"), F.col("y.size"))
+    both = x.join(y, (F.col("x.node") == F.col("y.node")) & apart & meet)
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.
 
-    Signatures first rule out pairs that cannot reach the limit but by a chance of about one in three million. The text of the
-    smaller key, which many pairs share, is turned into its set once for each run of its pairs.
+    Signatures first rule out pairs that cannot reach the limit but by a chance of about one in three million. A text that many
+    pairs share is turned into its set once for each batch of pairs.
     """
     near = pairs.join(representatives.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     near = near.join(representatives.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
     near = written(near.filter(shared >= MIN_SHARED).select("a", "b"), "path-pairs")
-    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    n = ids.count()
-    if n == 0:
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    size = near.agg(F.count(F.lit(1)).alias("pairs")).crossJoin(ids.agg(F.count(F.lit(1)).alias("ids"))).first()  # one row each
+    if size.pairs == 0:
         return near
     # few ids go to the scan of the texts, so that only needed texts are shuffled; more than the bound are joined by a shuffle
-    needed = texts.join(F.broadcast(ids) if n <= SENT_IDS else ids, "id", "left_semi")
+    needed = texts.join(F.broadcast(ids) if size.ids <= SENT_IDS else ids, "id", "left_semi")
     texts = needed.groupBy("id").agg(F.min("text").alias("text"))  # repeated keys count as one document
-    rows = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    # pairs of one document are many, but pairs as such spread evenly
+    spread = near.repartition(1 + size.pairs // TASK_PAIRS, "a", "b")
+    rows = spread.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, np.zeros(0, np.uint64)
         for batch in sized_slices(sized_slices(batches, "tb", 500_000), "ta", 4_000_000):
-            keys, seconds = batch.column("a").to_pylist(), shingle_sets(batch.column("tb").to_pylist())[0]
+            sides = [_sets_by_key(batch.column(k), batch.column(t)) for k, t in (("a", "ta"), ("b", "tb"))]
             keep = []
-            for i, (key, second) in enumerate(zip(keys, seconds, strict=True)):
-                if key != last:
-                    last, first = key, shingle_sets([batch.column("ta")[i].as_py()])[0][0]
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                first, second = sides[0][a], sides[1][b]
                 shared = len(np.intersect1d(first, second, assume_unique=True))
                 keep.append(100 * shared >= PERCENT * (len(first) + len(second) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -173,40 +182,64 @@ def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame) -
     return rows.mapInArrow(confirm, "a bigint, b bigint")
 
 
-def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, levels: int = LEVELS) -> DataFrame:
+def _sets_by_key(keys: pa.Array, texts: pa.Array) -> dict[int, np.ndarray]:
+    """The shingle set of each distinct key; each text is turned into its set once."""
+    at = {k: i for i, k in reversed(list(enumerate(keys.to_pylist())))}
+    return dict(zip(at, shingle_sets(texts.take(pa.array(list(at.values()), pa.int64())).to_pylist())[0], strict=True))
+
+
+def _in_components(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Add the component of each document; one without links so far is its own."""
+    if known is None:
+        return rows.withColumn("component", F.col("id"))
+    return rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """Confirmed links (``a`` < ``b``) between documents: enough of them to connect every component the trees find.
 
-    ``representatives`` has ``id`` and ``tokens`` of documents with different words, ``texts`` their ``id`` and ``text``.
+    ``representatives`` has ``id``, ``size`` (of the set) and ``tokens`` of documents with different words, ``texts`` their ``id`` and ``text``. What
+    lies in one component already is not compared again, and nodes that hold one component only are done. Between two
+    comparisons a node that is still large branches as many ``steps`` as that level tells.
     """
-    spark = representatives.sparkSession
-    rows, found = _roots(representatives, trees), spark.createDataFrame([], "a bigint, b bigint")
-    apart_in = lambda: F.col("x.component") != F.col("y.component")
-    for level in range(levels):
+    rows, known, new = _roots(representatives, trees), None, []
+    for level in range(len(steps) + 1):
         # the smallest document is the first pivot of all trees, so that they share its pairs; deeper nodes draw theirs
         order = F.col("id") if level == 0 else F.xxhash64("node", "id")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(order, "id")).alias("pivot")).filter("n > 1")
-        rows = written(rows.join(sizes, "node").withColumn("component", F.col("id")), "path-nodes")
+        rows = _in_components(rows, known)
+        lead = F.min_by(F.struct(F.col("id").alias("pivot"), F.col("size").alias("pivot_size"), F.col("component").alias("main")), F.struct(order, "id")).alias("lead")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), lead, F.min("component").alias("lo"), F.max("component").alias("hi"))
+        rows = written(rows.join(sizes.filter("lo < hi").select("node", "n", "lead.*"), "node"), "path-nodes")
         small, large = rows.filter(F.col("n") <= LEAF), rows.filter(F.col("n") > LEAF)
-        star = large.filter("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
-        pairs = _pairs_of(small, small, F.col("x.id") < F.col("y.id")).union(star).distinct().join(found, ["a", "b"], "left_anti")
-        found = found.union(written(_confirmed(pairs, representatives, texts), "path-links"))
+        star = large.filter((F.col("component") != F.col("main")) & _sizes_allow(F.col("size"), F.col("pivot_size"))).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+        pairs = _pairs_of(small, small, F.col("x.id") < F.col("y.id")).union(star).distinct()
+        new.append(written(_confirmed(pairs, representatives, texts), "path-links"))
         if large.isEmpty():
             break
-        known = components(found)
-        placed = large.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        known = components(_all_links(new, known))
+        new = []
+        placed = _in_components(large.drop("component", "main"), known)
         pivots = known.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
         placed = written(placed.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")), "path-large")
         apart = placed.filter("component <> main")
         left = apart.groupBy("node").agg(F.count(F.lit(1)).alias("left_over"))
-        last = level == levels - 1
+        last = level == len(steps)
         rest = apart if last else apart.join(left.filter(F.col("left_over") <= LEFT_OVER), "node", "left_semi")
-        pairs = _pairs_of(rest, placed, apart_in()).join(found, ["a", "b"], "left_anti")
-        found = found.union(written(_confirmed(pairs, representatives, texts), "path-links"))
+        new.append(written(_confirmed(_pairs_of(rest, placed, F.lit(True)), representatives, texts), "path-links"))
         on = left.filter(F.col("left_over") > LEFT_OVER).select("node")
         if last or on.isEmpty():
             break
-        rows = _deeper(placed.join(on, "node", "left_semi").select("node", "id"), representatives)
-    return found.distinct()
+        going_on = placed.join(on, "node", "left_semi").select("node", "id").join(representatives, "id")
+        rows = _branched(going_on, steps[level])
+    return _all_links(new, known)
+
+
+def _all_links(new: list[DataFrame], known: DataFrame | None) -> DataFrame:
+    """New links and, for components known before, a link of each document to the smallest one."""
+    out = None if known is None else known.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    for rows in new:
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,9 +274,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     described = written(profiles(documents, key, text), "shingle-profiles")
     filled = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("words").agg(F.min("doc_id").alias("id"))
-    members = filled.select("doc_id", "words", "tokens").join(classes, "words")
+    members = filled.select("doc_id", "words", "n_shingles", "tokens").join(classes, "words")
     representatives = written(
-        members.filter("doc_id = id").groupBy("id").agg(F.min("tokens").alias("tokens")), "representatives",
+        members.filter("doc_id = id").groupBy("id").agg(F.min("n_shingles").cast("int").alias("size"), F.min("tokens").alias("tokens")), "representatives",
     )
     texts = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     joined = components(links(representatives, texts, trees))
