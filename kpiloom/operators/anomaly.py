@@ -25,7 +25,7 @@ NEIGHBOURS = 3
 
 # Method name and the text shown for it.
 METHOD_LABELS = {
-    "change_points": "ruptures PELT change-point",
+    "change_points": "change point of a penalized segmentation",
     "control_limit_breaches": "±3σ trailing control-limit breach",
     "outliers": "MAD outlier (modified z > 3.5)",
 }

@@ -58,8 +58,12 @@ def visible_kpis(kpis: DataFrame, persona: Persona | None, contracts: DataFrame
     hidden = restricted_names(contracts, persona)
     if hidden is not None:
         kept = kept.join(hidden.withColumnRenamed("column", "measure"), "measure", "left_anti")
-        touched = kept.select("name", F.explode("slice_columns").alias("column")).join(hidden, "column", "left_semi")
-        kept = kept.join(touched.select("name").distinct(), "name", "left_anti")
+        # equal names of different datasets are different KPIs
+        own = [c for c in ("dataset_id", "name") if c in kpis.columns]
+        touched = kept.select(*own, F.explode("slice_columns").alias("column")).join(hidden, "column", "left_semi")
+        touched = touched.select(*own).distinct().alias("t")
+        same = [F.col(f"k.{c}").eqNullSafe(F.col(f"t.{c}")) for c in own]
+        kept = kept.alias("k").join(touched, same, "left_anti")
     return kept.select(*kpis.columns)
 
 

@@ -148,7 +148,7 @@ def validate_kpis(statistics: DataFrame, kpis: Sequence[Kpi], columns: Sequence[
             periods < MIN_PERIODS,
             _outcome("low-data", F.format_string(f"only %d time periods (< {MIN_PERIODS} required)", periods)),
         )
-        .otherwise(_outcome("valid", F.lit("sufficient periods and healthy variance")))
+        .otherwise(_outcome("valid", F.lit("enough time periods with values")))
     )
     return rows.select("kpi", "measure", "aggregation", periods.alias("period_count"), outcome.alias("o")).select(
         "kpi", "measure", "aggregation", "period_count", "o.status", "o.reason"

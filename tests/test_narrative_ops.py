@@ -118,6 +118,15 @@ def test_persona_rules_on_kpis(spark):
     assert visible(spark, restricted_roles=["dimension"]) == ["e"]
 
 
+def test_equal_names_of_two_datasets_hide_only_their_own(spark):
+    rows = spark.createDataFrame(
+        [("d1", "margin", "revenue", ["region"]), ("d2", "margin", "revenue", ["channel"]), (None, "margin", "revenue", ["region"])],
+        "dataset_id string, name string, measure string, slice_columns array<string>",
+    )
+    seen = governance.for_persona(rows, Persona.parse({"restricted_roles": ["dimension"]}), contracts(spark))
+    assert [r["dataset_id"] for r in records(seen)] == ["d2"]
+
+
 def test_persona_rules_on_findings(spark):
     df = spark.createDataFrame([("region", [1, 2, 3]), ("product", [4]), (None, [5, 6])], "dimension string, slices array<int>")
     def see(**rules):

@@ -135,7 +135,7 @@ v AS (SELECT kpi, measure, aggregation, periods AS period_count, CASE
     WHEN aggregation IN ('avg', 'rate') AND x <= 1e-12 THEN 'invalid|zero denominator for ratio aggregation'
     WHEN periods < 2 THEN 'invalid|degenerate trend (fewer than 2 period values)'
     WHEN periods < 8 THEN 'low-data|only ' || periods || ' time periods (< 8 required)'
-    ELSE 'valid|sufficient periods and healthy variance' END AS o FROM m),
+    ELSE 'valid|enough time periods with values' END AS o FROM m),
 validated AS (SELECT kpi, measure, aggregation, period_count, split_part(o, '|', 1) AS status, split_part(o, '|', 2) AS reason FROM v)"""
 
 
