@@ -259,6 +259,27 @@ def test_language_model_base_and_probabilities(spark, odd, nothing):
     assert mixing.score(nothing, mixing.train(nothing)).count() == 0
 
 
+def test_language_model_learns_words_from_the_two_before(spark):
+    texts = [("red big cat", 60), ("blue big cow", 60), ("red big cow", 30), ("blue big cat", 30)]
+    keys = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    train = [(keys.pop(), t) for t, n in texts[:2] for _ in range(n)]
+    asked = [(held[i], t) for i, (t, _) in enumerate(texts)]
+    docs = spark.createDataFrame(train + asked, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in mixing.score(docs, mixing.train(docs)).collect()}
+    by_text = {t: got[k] for k, t in asked}
+    tokens, types = 120 * 4, 6  # the end of a text is a token
+
+    def refined(n, total, kinds, lower):
+        return (n + kinds * lower) / (total + kinds)
+
+    alone = refined(60, tokens, types, 0)  # spelled probabilities add less than the tolerance
+    after_one = refined(60, 120, 2, alone)
+    ratio = refined(60, 60, 1, after_one) / refined(0, 60, 1, after_one)
+    assert math.isclose(by_text["red big cat"] - by_text["red big cow"], math.log10(ratio), abs_tol=0.01)
+    assert math.isclose(by_text["blue big cow"] - by_text["blue big cat"], math.log10(ratio), abs_tol=0.01)
+
+
 def test_pipeline_keeps_columns_and_packs(spark, tmp_path):
     import corpus_pipeline
 
