@@ -94,13 +94,13 @@ def signature(shingles: np.ndarray, n: int = SIGNATURE) -> np.ndarray:
     return (_mix(low) >> np.uint64(32)).astype(np.uint32)
 
 
-def profiles(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def profiles(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Key, number of shingles, a hash of the words and the signature (empty for an empty set) of each document."""
     from hashlib import blake2b
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(batches, "text", 1_000_000):
-            sets, joined = shingle_sets([t or "" for t in batch.column("text").to_pylist()])
+            sets, joined = shingle_sets([t or "" for t in batch.column("text").to_pylist()], shingle)
             columns = [
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([blake2b(j, digest_size=16).digest() if len(s) else None for j, s in zip(joined, sets, strict=True)], pa.binary()),
@@ -147,7 +147,7 @@ def _pairs_of(a: DataFrame, b: DataFrame, meet: Column) -> DataFrame:
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.
 
     Signatures first rule out pairs that cannot reach the limit but by a chance of about one in three million. A text that many
@@ -171,7 +171,7 @@ def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame) -
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(sized_slices(batches, "tb", 500_000), "ta", 4_000_000):
-            sides = [_sets_by_key(batch.column(k), batch.column(t)) for k, t in (("a", "ta"), ("b", "tb"))]
+            sides = [_sets_by_key(batch.column(k), batch.column(t), shingle) for k, t in (("a", "ta"), ("b", "tb"))]
             keep = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 first, second = sides[0][a], sides[1][b]
@@ -182,10 +182,10 @@ def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame) -
     return rows.mapInArrow(confirm, "a bigint, b bigint")
 
 
-def _sets_by_key(keys: pa.Array, texts: pa.Array) -> dict[int, np.ndarray]:
+def _sets_by_key(keys: pa.Array, texts: pa.Array, shingle: int) -> dict[int, np.ndarray]:
     """The shingle set of each distinct key; each text is turned into its set once."""
     at = {k: i for i, k in reversed(list(enumerate(keys.to_pylist())))}
-    return dict(zip(at, shingle_sets(texts.take(pa.array(list(at.values()), pa.int64())).to_pylist())[0], strict=True))
+    return dict(zip(at, shingle_sets(texts.take(pa.array(list(at.values()), pa.int64())).to_pylist(), shingle)[0], strict=True))
 
 
 def _in_components(rows: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -195,7 +195,7 @@ def _in_components(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, steps: tuple[int, ...] = STEPS) -> DataFrame:
+def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, steps: tuple[int, ...] = STEPS, shingle: int = SHINGLE) -> DataFrame:
     """Confirmed links (``a`` < ``b``) between documents: enough of them to connect every component the trees find.
 
     ``representatives`` has ``id``, ``size`` (of the set) and ``tokens`` of documents with different words, ``texts`` their ``id`` and ``text``. What
@@ -213,7 +213,7 @@ def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, step
         small, large = rows.filter(F.col("n") <= LEAF), rows.filter(F.col("n") > LEAF)
         star = large.filter((F.col("component") != F.col("main")) & _sizes_allow(F.col("size"), F.col("pivot_size"))).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
         pairs = _pairs_of(small, small, F.col("x.id") < F.col("y.id")).union(star).distinct()
-        new.append(written(_confirmed(pairs, representatives, texts), "path-links"))
+        new.append(written(_confirmed(pairs, representatives, texts, shingle), "path-links"))
         if large.isEmpty():
             break
         known = components(_all_links(new, known))
@@ -225,7 +225,7 @@ def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, step
         left = apart.groupBy("node").agg(F.count(F.lit(1)).alias("left_over"))
         last = level == len(steps)
         rest = apart if last else apart.join(left.filter(F.col("left_over") <= LEFT_OVER), "node", "left_semi")
-        new.append(written(_confirmed(_pairs_of(rest, placed, F.lit(True)), representatives, texts), "path-links"))
+        new.append(written(_confirmed(_pairs_of(rest, placed, F.lit(True)), representatives, texts, shingle), "path-links"))
         on = left.filter(F.col("left_over") > LEFT_OVER).select("node")
         if last or on.isEmpty():
             break
@@ -265,13 +265,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", trees: int = TREES, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row; shingles have so many words.
 
     Documents without words, and null texts, are linked with nothing. Rows with equal keys count as one document for links but
     are all returned; a null key is never linked by similarity and keeps itself.
     """
-    described = written(profiles(documents, key, text), "shingle-profiles")
+    described = written(profiles(documents, key, text, shingle), "shingle-profiles")
     filled = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("words").agg(F.min("doc_id").alias("id"))
     members = filled.select("doc_id", "words", "n_shingles", "tokens").join(classes, "words")
@@ -279,14 +279,14 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         members.filter("doc_id = id").groupBy("id").agg(F.min("n_shingles").cast("int").alias("size"), F.min("tokens").alias("tokens")), "representatives",
     )
     texts = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    joined = components(links(representatives, texts, trees))
+    joined = components(links(representatives, texts, trees, shingle=shingle))
     of_class = classes.join(joined, "id", "left").select("words", F.coalesce("component", "id").alias("component_id"))
     rows = described.join(of_class, "words", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One document of each group: the one with the smallest key, all columns."""
-    judged = near_duplicates(documents, key, text)
+    judged = near_duplicates(documents, key, text, shingle=shingle)
     dropped = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
     return documents.join(dropped, documents[key] == F.col("_dropped"), "left_anti")

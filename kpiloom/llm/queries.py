@@ -71,7 +71,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of near duplicates among all documents."""
-    return minwise.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return minwise.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), shingle=4)
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

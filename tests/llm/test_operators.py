@@ -174,6 +174,22 @@ def test_near_duplicates_equal_brute_force(spark, odd, nothing):
     assert minwise.near_duplicates(nothing).count() == 0
 
 
+def test_pipeline_takes_five_words_a_shingle(spark):
+    import corpus_pipeline
+
+    first = [f"w{i}" for i in range(200)]
+    second = [f"x{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(first)]
+
+    def similarity(k):
+        a, b = ({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (first, second))
+        return len(a & b) / len(a | b)
+
+    assert similarity(4) > 0.8 > similarity(5)
+    df = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(second).upper())], "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()} == {1, 2}
+    assert {r.doc_id for r in minwise.near_duplicates(df, shingle=4).filter("kept").collect()} == {1}
+
+
 def test_quality_counts_and_monotone_trees(spark, odd, nothing):
     words = "a b c d e f a b c d e x".encode().split()
     assert quality.repeated_words(words) == 10
