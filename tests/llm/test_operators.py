@@ -174,6 +174,19 @@ def test_near_duplicates_equal_brute_force(spark, odd, nothing):
     assert minwise.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_in_a_group_that_shares_a_passage(spark):
+    passage, rows = [f"p{i}" for i in range(180)], []
+    for pair in range(200):
+        for side in (0, 1):
+            rows.append((2 * pair + side, passage + [f"o{pair}_{i}" if i < 8 else f"o{pair}_{side}_{i}" for i in range(30)]))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for _, w in rows]
+    linked = [(a, b) for b in range(400) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert linked == [(2 * p, 2 * p + 1) for p in range(200)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    found = minwise.near_duplicates(df).filter("NOT kept").select("component_id", "doc_id").collect()
+    assert {tuple(r) for r in found} <= set(linked) and len(found) >= 199
+
+
 def test_pipeline_takes_five_words_a_shingle(spark):
     import corpus_pipeline
 
