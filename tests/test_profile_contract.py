@@ -29,6 +29,13 @@ def test_roles_counts_and_samples(spark):
         assert got["transaction_date"]["sample_values"][:2] == ["2024-01-01", "2024-01-02"]
 
 
+def test_approximate_roles_equal_exact_ones(spark):
+    for source in ("orders", "customer", "documents", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.01/{source}.parquet")
+        roles = [{k: r["detected_role"] for k, r in by_name(profile.profile(df, approximate=a)).items()} for a in (True, False)]
+        assert roles[0] == roles[1], source
+
+
 def test_samples_beyond_the_first_rows(spark):
     df = spark.range(300).select("id", F.when(F.col("id") >= 290, F.col("id") * 2).alias("late"), F.lit(None).cast("int").alias("never"))
     got = by_name(profile.profile(df.repartition(5), "s", ["id"]))
