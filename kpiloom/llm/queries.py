@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import chat, counts, decontam, minwise, mixing, packing, pii, quality, simple8b, warc
+from kpiloom.llm import chat, counts, decontam, minwise, mixing, negatives, packing, pii, quality, resample, simple8b, warc
 from kpiloom.llm.common import shared_path
 
 
@@ -96,8 +96,24 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.score(documents, mixing.train(documents))
 
 
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn towards the benchmark's distribution of word runs."""
+    ranks = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Negatives of all anchors within the windows of their positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.taking_part(table(spark, folder, "embeddings"), label=label)
+    return negatives.mine(rows, rows.filter(F.col("id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_warc, op3_token_counts, op4_token_ids, op5_packing, op6_near_dedup, op7_quality_rules, op8_pii, op9_decontamination, op10_lm_scores)
+    f.__name__: f for f in (
+        op1_chat_format, op2_warc, op3_token_counts, op4_token_ids, op5_packing, op6_near_dedup, op7_quality_rules, op8_pii,
+        op9_decontamination, op10_lm_scores, op11_resample, op12_hard_negatives,
+    )
 }
 SQL: dict[str, str] = {
     "op1_chat_format": r"""
@@ -124,4 +140,67 @@ SQL: dict[str, str] = {
             CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM g
     """,
+    "op11_resample": r"""
+        WITH step AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM range(256) AS r(i))
+        ), texts AS (
+            SELECT doc_id AS id, true AS own, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark
+        ), words AS (
+            SELECT id, own, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM texts
+        ), runs AS (
+            SELECT id, own, unnest(list_concat(
+                w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+            FROM words
+        ), counted AS (
+            SELECT id, own, f, count(*) AS n FROM runs GROUP BY ALL
+        ), hashed AS (
+            SELECT f, xor(list_reduce(
+                list_concat([4294967295::BIGINT], list_transform(range(strlen(f)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM counted), step
+        ), per AS (
+            SELECT id, own, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL
+        ), totals AS (
+            SELECT coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM per
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln(
+                (coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE + 1) * (any_value(s) + 10000)
+                / ((coalesce(sum(n) FILTER (own), 0)::DOUBLE + 1) * (any_value(t) + 10000))))::BIGINT AS gain
+            FROM per, totals GROUP BY bucket
+        ), weights AS (
+            SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM per JOIN gains USING (bucket) WHERE own GROUP BY id
+        ), scores AS (
+            SELECT w.id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM words w LEFT JOIN weights USING (id) WHERE w.own
+        ), ranks AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scores WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+        FROM scores LEFT JOIN ranks USING (doc_id)
+    """,
+    "op12_hard_negatives": """
+        WITH part AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT a.id AS anchor, r.id, a.label = r.label AS same,
+                list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i]))::BIGINT AS score
+            FROM part a JOIN part r ON a.id <> r.id WHERE a.id % 100 = 0
+        ), positives AS (
+            SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5
+        )
+        SELECT p.anchor AS anchor_id, p.id AS positive_id,
+            row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+            n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN pairs n ON p.anchor = n.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        QUALIFY rank <= 10
+    """,
 }
