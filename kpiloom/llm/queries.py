@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import chat, counts, decontam, minwise, mixing, negatives, packing, pii, quality, resample, simple8b, warc
+from kpiloom.llm import chat, counts, decontam, minwise, mixing, negatives, packing, parsing, pii, quality, resample, simple8b, warc
 from kpiloom.llm.common import shared_path
 
 
@@ -109,10 +109,15 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(rows, rows.filter(F.col("id") % 100 == 0))
 
 
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, with how like they are to each other and to the next text's."""
+    return parsing.compared_with_edits(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_format, op2_warc, op3_token_counts, op4_token_ids, op5_packing, op6_near_dedup, op7_quality_rules, op8_pii,
-        op9_decontamination, op10_lm_scores, op11_resample, op12_hard_negatives,
+        op9_decontamination, op10_lm_scores, op11_resample, op12_hard_negatives, op13_fingerprints,
     )
 }
 SQL: dict[str, str] = {
