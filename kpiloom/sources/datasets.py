@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiloom.sources.readers import load_source
+from kpiloom.sources.snapshots import StoredTable
 
 PREVIEW_ROWS = 20
 
@@ -73,9 +74,42 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], change
     return newest(both, keys, [F.desc(changed_at), F.desc("_incoming")]).drop("_incoming")
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Add event rows (feedback, calls, timings, activity) to a stored table."""
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> None:
+    """Add event rows (feedback, calls, timings, activity) to a stored log, which streams append to as well.
+
+    With a ``writer`` that numbers its batches, a batch that is sent again adds nothing.
+    """
+    StoredTable(df.sparkSession, path).append(df, writer, batch)
+
+
+def read_rows(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All rows of a stored log or table, each once, whoever appended them."""
+    return StoredTable(spark, path).read(version)
+
+
+def delete_datasets(tables: dict[str, StoredTable], dataset_ids: DataFrame) -> None:
+    """Delete datasets (column ``dataset_id``), their KPIs and everything derived from stored tables.
+
+    What hangs on a row goes before the row itself, so a deletion that was cut off is completed by running it again.
+    """
+    gone = dataset_ids.select("dataset_id").distinct()
+    if "kpis" in tables:
+        gone_kpis = tables["kpis"].read().join(gone, "dataset_id", "left_semi").select("kpi_id")
+        for name in KPI_TABLES:
+            if name in tables:
+                tables[name].delete(gone_kpis, "kpi_id")
+        tables["kpis"].delete(gone, "dataset_id")
+    tables["canonical_datasets"].delete(gone, "dataset_id")
+
+
+def delete_sources(tables: dict[str, StoredTable], source_ids: DataFrame) -> None:
+    """Delete sources (column ``source_id``) and every dataset built from them from stored tables."""
+    gone = source_ids.select("source_id").distinct()
+    members = tables["canonical_datasets"].read().select("dataset_id", F.explode("source_ids").alias("source_id"))
+    delete_datasets(tables, members.join(gone, "source_id", "left_semi"))
+    for name in SOURCE_TABLES:
+        if name in tables:
+            tables[name].delete(gone, "source_id")
 
 
 def without_datasets(tables: dict[str, DataFrame], dataset_ids: DataFrame) -> dict[str, DataFrame]:

@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kpiloom.sources.datasets import newest
+from kpiloom.sources.datasets import append_rows, newest
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append a stream to a stored table; the file sink's log makes each row land once."""
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    """Append a stream to a stored log, the same that ``append_rows`` adds batches to; ``read_rows`` reads both.
+
+    The stream is one writer, named by its checkpoint, and each micro-batch one numbered append: a batch that a restart
+    repeats is left out.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_rows(batch, path, f"stream {checkpoint}", batch_id)
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start(path)
+    return writer.start()
 
 
 def version_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

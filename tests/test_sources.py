@@ -66,18 +66,18 @@ def test_preview_pages(spark):
 def test_append_and_streaming_append(spark, tmp_path):
     rows = spark.createDataFrame([(1, "confirm"), (2, "reject")], "id int, verdict string")
     inbox, log = str(tmp_path / "in"), str(tmp_path / "log")
-    datasets.append_rows(rows, inbox)
+    rows.write.parquet(inbox)
     for _ in range(2):  # a restart finds nothing new
         stream = spark.readStream.schema(rows.schema).parquet(inbox)
         event_log.append_stream(stream, log, str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(log).count() == 2
+    assert datasets.read_rows(spark, log).count() == 2
 
 
 def test_streaming_versions_resolve_to_latest(spark, tmp_path):
     schema = "k int, v string, at int"
     inbox, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     for batch in ([(1, "a", 1), (2, "b", 5)], [(1, "c", 2), (2, "d", 4)]):
-        datasets.append_rows(spark.createDataFrame(batch, schema).coalesce(1), inbox)
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(inbox)
         event_log.version_stream(spark.readStream.schema(schema).parquet(inbox), out, check).awaitTermination()
     assert sorted(tuple(r) for r in event_log.current_rows(spark, out, ["k"], "at").collect()) == [(1, "c", 2), (2, "b", 5)]
 

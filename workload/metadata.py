@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from kpiloom.functions import text
 from kpiloom.operators import checks
 from kpiloom.session import scratch_folder
 from kpiloom.sources import datasets, readers
+from kpiloom.sources.snapshots import StoredTable
+from kpiloom.streaming import event_log
 from workload import Query, table
 
 
@@ -71,6 +74,70 @@ UNION ALL SELECT 'kpi_computations', count(*) FROM orders WHERE o_custkey NOT IN
 UNION ALL SELECT 'profiles', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT * FROM gone)"""
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``latest``, but on a stored table: its rows before and after, told apart by snapshot."""
+    rows = versions(spark, folder)
+    table_ = StoredTable(spark, new_folder(spark, "versions"), ["user_id", "key"])
+    table_.create(datasets.newest(rows.filter("version % 2 = 0"), ["user_id", "key"], [F.desc("changed_at"), F.desc("version")]))
+    incoming = rows.filter("version % 2 = 1").withColumn("changed_at", F.date_trunc("hour", "changed_at").cast("timestamp_ntz"))
+    table_.upsert(datasets.newest(incoming, ["user_id", "key", "changed_at"], [F.desc("version")]), "changed_at")
+    return table_.read(0).withColumn("snapshot", F.lit(0)).unionByName(table_.read(1).withColumn("snapshot", F.lit(1)))
+
+
+STORED_LATEST_SQL = """WITH v AS (SELECT user_id, event_type AS key, event_id AS version, value, ts AS changed_at FROM events),
+o AS (SELECT * FROM v WHERE version % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY changed_at DESC, version DESC) = 1),
+i AS (SELECT * REPLACE (date_trunc('hour', changed_at) AS changed_at) FROM v WHERE version % 2 = 1),
+i2 AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY user_id, key, changed_at ORDER BY version DESC) = 1),
+b AS (SELECT *, 0 AS incoming FROM o UNION ALL SELECT *, 1 FROM i2)
+SELECT *, 0 AS snapshot FROM o UNION ALL
+SELECT * EXCLUDE (incoming), 1 FROM b QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY changed_at DESC, incoming DESC) = 1"""
+
+#: Keys of the stored catalog tables.
+CATALOG_KEYS = {
+    "sources": ["source_id"], "canonical_datasets": ["dataset_id"], "kpis": ["kpi_id"], "kpi_computations": ["kpi_id", "o_orderkey"],
+    "profiles": ["source_id", "l_orderkey"],
+}
+
+
+def stored_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every stored table before and after the cascade of ``after_delete``."""
+    tables = {}
+    for name, rows in catalog(spark, folder).items():
+        tables[name] = StoredTable(spark, new_folder(spark, name), CATALOG_KEYS[name], file_rows=20_000)
+        tables[name].create(rows)
+    gone = table(spark, folder, "supplier").filter(F.col("s_acctbal") < 0).select(F.col("s_suppkey").alias("source_id"))
+    datasets.delete_sources(tables, gone)
+    parts = [
+        stored.read(version).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), F.lit(when).alias("state"), "rows")
+        for name, stored in tables.items() for when, version in (("before", 0), ("after", None))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def replayed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Even events appended in two batches and odd ones by a stream, all of it twice, into one log."""
+    events = table(spark, folder, "events")
+    log, inbox, check = (new_folder(spark, n) for n in ("event-log", "event-inbox", "event-check"))
+    events.filter("event_id % 2 = 1").write.parquet(inbox)
+    for _ in range(2):
+        for batch in (0, 1):
+            datasets.append_rows(events.filter(f"event_id % 4 = {2 * batch}"), log, "loader", batch)
+        event_log.append_stream(spark.readStream.schema(events.schema).parquet(inbox), log, check).awaitTermination()
+    return datasets.read_rows(spark, log)
+
+
+def page_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """A page deep inside lineitem stored by key, read from the files it lies in."""
+    rows = table(spark, folder, "lineitem")
+    stored = StoredTable(spark, new_folder(spark, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], file_rows=10_000)
+    stored.create(rows)
+    return stored.page(120, 37)
+
+
 def usage(spark: SparkSession, folder: str) -> DataFrame:
     """How many datasets (one per order priority and status) use each customer's market segment as a source."""
     orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
@@ -128,6 +195,17 @@ ROUND_TRIP_SQL = """SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority EN
 
 QUERIES = {
     "latest_wins": Query(latest, LATEST_SQL),
+    "stored_latest_wins": Query(stored_latest, STORED_LATEST_SQL),
+    "stored_cascade_delete": Query(
+        stored_delete, f"""SELECT *, 'after' AS state FROM ({DELETE_SQL}) UNION ALL
+          SELECT 'sources', count(*), 'before' FROM supplier UNION ALL SELECT 'canonical_datasets', count(DISTINCT s_nationkey), 'before' FROM supplier
+          UNION ALL SELECT 'kpis', count(*), 'before' FROM customer UNION ALL SELECT 'kpi_computations', count(*), 'before' FROM orders
+          UNION ALL SELECT 'profiles', count(*), 'before' FROM lineitem""",
+    ),
+    "event_log_replayed": Query(replayed_log, "SELECT * FROM events"),
+    "page_by_key": Query(
+        page_by_key, "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 37 OFFSET 4403"
+    ),
     "cascade_delete": Query(after_delete, DELETE_SQL),
     "source_usage": Query(
         usage, """WITH u AS (SELECT DISTINCT o_orderpriority, o_orderstatus, c_mktsegment AS source_id FROM orders JOIN customer ON o_custkey = c_custkey),
