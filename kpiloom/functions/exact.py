@@ -9,13 +9,12 @@ rounded away and no total overflows one long.
 
 from __future__ import annotations
 
-import sys
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiloom.functions.selection import DIRECT_LIMIT, Selection
+
 _LOW_BITS = 21
 _LARGEST_STEPS = float(2**52)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -112,154 +111,18 @@ def ordered_total(values: Column) -> Column:
 # --- exact quantiles -------------------------------------------------------------------------------------------------
 
 
+def doubles(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Columns as doubles, NaN as missing."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return {c: without_nan(F.col(f"`{c}`"), types[c]).cast("double") for c in columns}
+
+
 def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probabilities: list[float],
-    accuracy: int = 10_000,
-    direct_limit: int = 100_000,
+    df: DataFrame, columns: list[str], probabilities: list[float], direct_limit: int = DIRECT_LIMIT,
 ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolated quantiles of whole columns, exact, without holding a column in one task.
 
-    The built-in exact ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable sketch
-    brackets each wanted rank, one counting pass says how many values lie below and inside each bracket, and brackets
-    are narrowed until at most ``direct_limit`` values (or one single value) remain. Only those are sorted. A bracket
-    that misses its rank is widened, so the answer never depends on the sketch being right. The driver sees a few
-    numbers per column and pass.
+    The built-in exact ``percentile`` keeps every distinct value of a group in one buffer. ``Selection`` reads the table twice
+    for all columns together and sorts only the values near the wanted ranks.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    frame = df.select(*[without_nan(F.col(c), types[c]).cast("double").alias(c) for c in columns])
-    if not columns:
-        return {}
-    margin = 4.0 / accuracy
-    points = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probabilities for d in (-margin, margin)])
-    aggregates = []
-    for i, c in enumerate(columns):
-        aggregates += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-        aggregates.append(F.percentile_approx(c, points, accuracy).alias(f"q{i}"))
-    row = frame.agg(*aggregates).first()
-    targets = []  # one open search per (column, probability)
-    for i, c in enumerate(columns):
-        n = row[f"n{i}"]
-        for k, p in enumerate(probabilities):
-            if n:
-                position = p * (n - 1)
-                targets.append(
-                    dict(c=c, p=p, n=n, first=int(position), last=min(int(position) + 1, n - 1),
-                         fraction=position - int(position), lo=row[f"lo{i}"], hi=row[f"hi{i}"], below=0, inside=n,
-                         guess=(float(row[f"q{i}"][2 * k]), float(row[f"q{i}"][2 * k + 1])))
-                )
-    first_round = True
-    while True:
-        wide = [t for t in targets if t["inside"] > direct_limit and t["lo"] < t["hi"]]
-        if not wide:
-            break
-        if not first_round:
-            _sketch(frame, wide, accuracy)
-        first_round = False
-        _tighten(frame, wide)
-    values = _order_statistics(frame, targets)
-    out: dict[str, dict[float, float | None]] = {c: {p: None for p in probabilities} for c in columns}
-    for i, t in enumerate(targets):
-        low, high = values[(i, t["first"])], values[(i, t["last"])]
-        out[t["c"]][t["p"]] = low + (high - low) * t["fraction"]
-    return out
-
-
-def _inside(t: dict) -> Column:
-    return F.col(t["c"]).between(F.lit(t["lo"]), F.lit(t["hi"]))
-
-
-def _sketch(frame: DataFrame, targets: list[dict], accuracy: int) -> None:
-    """Guess a narrower bracket for every target; targets searching the same bracket share one sketch."""
-    margin = 4.0 / accuracy
-    shared: dict[tuple, list[dict]] = {}
-    for t in targets:
-        shared.setdefault((t["c"], t["lo"], t["hi"]), []).append(t)
-    sketches = []
-    for k, members in enumerate(shared.values()):
-        points = []
-        for t in members:
-            share = (t["first"] - t["below"]) / max(t["inside"] - 1, 1)
-            points += [F.lit(max(share - margin, 0.0)), F.lit(min(share + margin, 1.0))]
-        value = F.when(_inside(members[0]), F.col(members[0]["c"]))
-        sketches.append(F.percentile_approx(value, F.array(*points), accuracy).alias(f"q{k}"))
-    found = frame.agg(*sketches).first()
-    for k, members in enumerate(shared.values()):
-        for place, t in enumerate(members):
-            t["guess"] = (float(found[f"q{k}"][2 * place]), float(found[f"q{k}"][2 * place + 1]))
-
-
-def _tighten(frame: DataFrame, targets: list[dict]) -> None:
-    """Count below and inside every guessed bracket, keep what holds the rank, and halve the range on a miss."""
-    counts = []
-    for i, t in enumerate(targets):
-        lo, hi = t["guess"]
-        counts.append(F.count_if(F.col(t["c"]) < F.lit(lo)).alias(f"b{i}"))
-        counts.append(F.count_if(F.col(t["c"]).between(F.lit(lo), F.lit(hi))).alias(f"i{i}"))
-        # The rank after the bracket may be the next larger value: remember it, so interpolation stays exact.
-        counts.append(F.min(F.when(F.col(t["c"]) > F.lit(hi), F.col(t["c"]))).alias(f"x{i}"))
-    seen = frame.agg(*counts).first()
-    for i, t in enumerate(targets):
-        below, inside = seen[f"b{i}"], seen[f"i{i}"]
-        lo, hi = t["guess"]
-        if below <= t["first"] and t["last"] < below + inside:
-            shrunk = inside < t["inside"]
-            t.update(lo=lo, hi=hi, below=below, inside=inside)
-        elif below <= t["first"] < below + inside and seen[f"x{i}"] is not None:
-            shrunk = inside < t["inside"]
-            t.update(lo=lo, hi=seen[f"x{i}"], below=below, inside=inside + 1)
-        else:
-            shrunk = False
-        if not shrunk:  # the sketch did not help: halve the value range instead
-            _halve(frame, t)
-
-
-def _halve(frame: DataFrame, t: dict) -> None:
-    middle = max(t["lo"], -sys.float_info.max) / 2 + min(t["hi"], sys.float_info.max) / 2
-    if middle >= t["hi"]:  # neighbouring doubles
-        middle = t["lo"]
-    row = frame.filter(_inside(t)).agg(
-        F.count_if(F.col(t["c"]) <= F.lit(middle)).alias("left"),
-        F.max(F.when(F.col(t["c"]) <= F.lit(middle), F.col(t["c"]))).alias("left_max"),
-        F.min(F.when(F.col(t["c"]) > F.lit(middle), F.col(t["c"]))).alias("right_min"),
-    ).first()
-    split = t["below"] + row["left"]
-    if t["last"] < split:
-        t.update(hi=row["left_max"], inside=row["left"])
-    elif t["first"] >= split:
-        t.update(lo=row["right_min"], below=split, inside=t["inside"] - row["left"])
-    else:  # the two ranks sit on both sides of the middle: exactly these two values are wanted
-        t.update(lo=row["left_max"], hi=row["right_min"], below=t["first"], inside=2, pair=True)
-
-
-def _order_statistics(frame: DataFrame, targets: list[dict]) -> dict[tuple[int, int], float]:
-    values: dict[tuple[int, int], float] = {}
-    searched = []
-    for i, t in enumerate(targets):
-        if t["lo"] == t["hi"]:
-            values[(i, t["first"])] = values[(i, t["last"])] = t["lo"]
-        elif t.get("pair"):
-            values[(i, t["first"])], values[(i, t["last"])] = t["lo"], t["hi"]
-        else:
-            searched.append((i, t))
-    if not searched:
-        return values
-    picks = F.array_compact(
-        F.array(*[F.when(_inside(t), F.struct(F.lit(i).alias("t"), F.col(t["c"]).alias("v"))) for i, t in searched])
-    )
-    wanted = reduce(lambda a, b: a | b, [_inside(t) for _, t in searched])
-    counted = frame.filter(wanted).select(F.inline(picks)).groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto)
-    hits = []
-    for i, t in searched:
-        for rank in {t["first"], t["last"]}:
-            local = F.lit(rank - t["below"])
-            hits.append(
-                F.when((F.col("t") == i) & (F.col("upto") > local) & (F.col("upto") - F.col("n") <= local),
-                       F.struct(F.lit(i).alias("t"), F.lit(rank).alias("rank"), F.col("v").alias("v")))
-            )
-    for r in ranked.select(F.inline(F.array_compact(F.array(*hits)))).collect():
-        values[(r["t"], r["rank"])] = r["v"]
-    return values
+    return Selection(df, doubles(df, columns), direct_limit=direct_limit).quantiles(probabilities) if columns else {}

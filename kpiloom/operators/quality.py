@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiloom.functions.exact import exact_quantiles, half_even, is_numeric, without_nan
+from kpiloom.functions.exact import doubles, half_even, is_numeric, without_nan
+from kpiloom.functions.selection import Selection
 from kpiloom.functions.text import is_numeric_text
 
 # Fixed values
@@ -33,17 +34,6 @@ def _graded(ratio: Column, high: float, medium: float) -> Column:
     return F.when(ratio > high, "high").when(ratio > medium, "medium").otherwise("low")
 
 
-def outlier_fences(df: DataFrame, columns: Sequence[str], **options) -> dict[str, tuple[float, float]]:
-    """Tukey fences of each column; columns without spread have none."""
-    found = exact_quantiles(df, list(columns), [0.25, 0.75], **options)
-    fences = {}
-    for c, q in found.items():
-        low, high = q[0.25], q[0.75]
-        if low is not None and high != low:
-            fences[c] = (low - IQR_FACTOR * (high - low), high + IQR_FACTOR * (high - low))
-    return fences
-
-
 def duplicate_rows(df: DataFrame, fingerprint: bool = False) -> DataFrame:
     """Row count and number of rows that repeat an earlier row (all columns equal, null equals null).
 
@@ -75,24 +65,24 @@ def quality_issues(
 ) -> DataFrame:
     """All issues of a source. ``declared_numeric`` names columns profiled as numbers that may now hold text.
 
-    Row, null, negative, type and outlier counts of all columns come from one aggregate over one scan.
+    Row, null, negative and type counts and the magnitudes of all numeric columns come from one aggregate over one scan; a second
+    scan brings the values near quartiles and outlier bounds, a third the duplicates.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c, t in types.items() if is_numeric(t)]
     ranged = [c for c in (measures or numeric) if c in types and c not in allow_negative and is_numeric(types[c])]
     texts = [c for c in declared_numeric if c in types and isinstance(types[c], T.StringType)]
-    fences = outlier_fences(df, numeric)
-    cell = {c: without_nan(F.col(f"`{c}`"), t) for c, t in types.items()}
     names = list(types)
-    aggregates = [F.count(F.lit(1)).alias("row_count")]
-    aggregates += [F.count(cell[c]).alias(f"values_{i}") for i, c in enumerate(names)]
-    aggregates += [F.count_if(cell[c] < 0).alias(f"negative_{names.index(c)}") for c in ranged]
-    aggregates += [F.count_if(~is_numeric_text(cell[c])).alias(f"text_{names.index(c)}") for c in texts]
-    aggregates += [
-        F.count_if((cell[c] < F.lit(low)) | (cell[c] > F.lit(high))).alias(f"outlier_{names.index(c)}")
-        for c, (low, high) in fences.items()
-    ]
-    stats = df.agg(*aggregates)
+    cell = {c: without_nan(F.col(f"`{c}`"), t) for c, t in types.items()}
+    conditions = {"row_count": F.lit(True)}
+    conditions |= {f"values_{i}": cell[c].isNotNull() for i, c in enumerate(names) if c not in numeric}
+    conditions |= {f"text_{names.index(c)}": cell[c].isNotNull() & ~is_numeric_text(cell[c]) for c in texts}
+    found = Selection(df, doubles(df, numeric), conditions)
+    fences = found.fences(IQR_FACTOR)
+    counts = found.counts | {f"values_{names.index(c)}": found.buckets[c].total for c in numeric}
+    counts |= {f"negative_{names.index(c)}": found.below_zero(c) for c in ranged}
+    counts |= {f"outlier_{names.index(c)}": outside for c, (_, _, outside) in fences.items()}
+    stats = df.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
     always = F.lit(True)
     candidates = []
     for i, c in enumerate(names):
@@ -107,13 +97,13 @@ def quality_issues(
         i = names.index(c)
         enough = F.col(f"values_{i}") >= MIN_OUTLIER_SUPPORT
         candidates.append(_candidate(c, "outlier", F.lit("low"), F.col(f"outlier_{i}"), enough))
-    found = stats.select(F.inline(F.array_compact(F.array(*candidates))))
+    issues = stats.select(F.inline(F.array_compact(F.array(*candidates))))
     duplicates = duplicate_rows(df, fingerprint).filter(F.col("duplicates") > 0).select(
         F.lit("(all columns)").alias("column"), F.lit("duplicate_rows").alias("issue_type"),
         _graded(F.try_divide("duplicates", "row_count"), 0.10, 0.02).alias("severity"),
         F.col("duplicates").alias("affected_row_count"),
     )
-    return found.unionByName(duplicates).select(
+    return issues.unionByName(duplicates).select(
         F.lit(source_id).alias("source_id"), "column", "issue_type", "severity",
         F.col("affected_row_count").cast("bigint").alias("affected_row_count"),
     )

@@ -127,5 +127,5 @@ QUERIES = {
     ),
     "exact_quantiles": Query(quantiles, QUANTILES_SQL),
     # Brackets narrowed to few values by a coarse sketch, so that every step of the search runs.
-    "exact_quantiles_narrowed": Query(lambda s, f: quantiles(s, f, accuracy=200, direct_limit=100), QUANTILES_SQL),
+    "exact_quantiles_narrowed": Query(lambda s, f: quantiles(s, f, direct_limit=100), QUANTILES_SQL),
 }
