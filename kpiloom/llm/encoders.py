@@ -6,6 +6,7 @@ The pieces are cut where the library's own first split always cuts, so the joine
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from array import array
@@ -127,6 +128,56 @@ class CachedEncoder:
         return ids
 
 
+#: First split of byte-level tokenizers, a fixed value of their format.
+BYTE_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run that the rank encoder would need quadratic time or deep recursion for.
+_LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+
+
+def _byte_symbols() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself if visible, else the next above 255."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class RankEncoder:
+    """Ids of texts by a byte-level vocabulary whose ids are its merge ranks, as little-endian unsigned 32-bit integers.
+
+    Such a file means the same to ``tiktoken``, which needs a quarter of the time and no memory of pieces. Texts with very long
+    runs without a split go to the file's own library.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
+        special = {t["content"]: t["id"] for t in stated["added_tokens"]}
+        symbols, vocabulary = _byte_symbols(), stated["model"]["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in stated["model"]["merges"]]
+        merged = [vocabulary["".join(m)] for m in pairs]
+        if merged != sorted(set(merged)) or len(merged) + 256 != len(vocabulary.keys() - special.keys()):
+            raise ValueError(f"the ids of {path} are no merge ranks")
+        ranks = {bytes(symbols[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        self.path = path
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        whole = self.encoding.encode
+        return [
+            encoder(self.path, True).encode([t])[0] if _LONG_RUN.search(t) else array("I", whole(t, allowed_special="all")).tobytes()
+            for t in texts
+        ]
+
+
+@lru_cache(maxsize=4)
+def rank_encoder(path: str) -> RankEncoder:
+    """The rank encoder of this worker process."""
+    return RankEncoder(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, spaced: bool) -> CachedEncoder:
     """The encoder of this worker process."""

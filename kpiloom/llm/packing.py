@@ -1,34 +1,41 @@
 """Concatenate and cut: documents become one run of token ids that is cut into windows of fixed length.
 
 The first pass encodes each text and counts ids per partition. The prefix sums of the partition totals give every document
-its place in the whole run, and the second pass cuts documents where a window ends. No id moves between tasks.
+its place in the whole run, and the second pass cuts documents where a window ends. Only the totals, one number for each
+partition, leave their task; no id does.
+
+Defined results: a null or empty text is its end id alone; rows that repeat, and null keys, are packed each by itself; an empty
+table has no pieces; other columns play no part.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.llm.common import sized_slices, written
-from kpiloom.llm.encoders import encoder
+from kpiloom.llm.encoders import rank_encoder
 
 WINDOW = 1024
+#: Offsets of at most so many partitions are broadcast.
+SENT_PARTITIONS = 1_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
-def encoded_partitions(documents: DataFrame, tokenizer: str, end_id: int, spaced: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded_partitions(documents: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """First pass: ids of each document with the end id, its partition and the ids before it in that partition."""
     end = struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, before = TaskContext.get().partitionId(), 0
-        for batch in sized_slices(batches, "text", 4_000_000):
-            ids = [i + end for i in encoder(tokenizer, spaced).encode([t or "" for t in batch.column("text").to_pylist()])]
+        for batch in sized_slices(batches, "text", 1_000_000):
+            ids = [i + end for i in rank_encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()])]
             starts, sizes = [], [len(i) // 4 for i in ids]
             for n in sizes:
                 starts.append(before)
@@ -41,17 +48,20 @@ def encoded_partitions(documents: DataFrame, tokenizer: str, end_id: int, spaced
     return rows.mapInArrow(encode, "doc_id bigint, ids binary, doc_tokens bigint, part int, in_part bigint")
 
 
-def pack(documents: DataFrame, tokenizer: str, end_id: int, spaced: bool, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of ``window`` ids; only the last sequence can be shorter.
 
     Each piece is a boundary record: its document, its start there, its length, its sequence and offset there, with the ids.
     Documents follow each other in the order of the table's partitions; null texts are empty and consist of the end id. The
-    encoded table is written once, so both passes see the same partitions even if executors are lost.
+    encoded table is written once, so both passes see the same partitions even if executors are lost. ``tokenizer`` is a byte-level
+    vocabulary whose ids are its merge ranks.
     """
-    encoded = written(encoded_partitions(documents, tokenizer, end_id, spaced, key, text), "packed-ids")
-    totals = encoded.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    encoded = written(encoded_partitions(documents, tokenizer, end_id, key, text), "packed-ids")
+    totals = encoded.groupBy("part").agg(F.sum("doc_tokens").alias("n")).orderBy("part").collect()  # one row for each partition
+    before = list(accumulate((r.n for r in totals), initial=0))[:-1]
+    offsets = documents.sparkSession.createDataFrame([(r.part, b) for r, b in zip(totals, before, strict=True)], "part int, before bigint")
+    # two numbers for each partition of the table, sent to all tasks unless there are more than a million
+    offsets = F.broadcast(offsets) if len(totals) <= SENT_PARTITIONS else offsets
     placed = encoded.join(offsets, "part").withColumn("_at", F.col("before") + F.col("in_part"))
     last = F.col("_at") + F.col("doc_tokens") - 1
     windows = F.sequence(F.floor(F.col("_at") / window), F.floor(last / window))

@@ -65,7 +65,7 @@ def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All texts concatenated and cut into sequences of 1024 ids."""
-    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, spaced=True)
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return pieces.drop("ids")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.llm import chat, counts, decontam, minwise, mixing, packing, pii, quality, queries, simple8b, warc
 from kpiloom.llm.common import shared_path
-from kpiloom.llm.encoders import CachedEncoder
+from kpiloom.llm.encoders import CachedEncoder, RankEncoder
 from workload import Query
 from workload.check import compare, connect
 
@@ -137,14 +137,51 @@ def test_token_ids_come_back_in_order(spark, odd, nothing):
     assert simple8b.read_ids(spark, simple8b.write_ids(simple8b.in_key_order(nothing), shared_path(odd, "ids-test"), WORD, end_id=2)).count() == 0
 
 
-def test_packing_puts_each_id_in_one_piece(odd, nothing):
-    pieces = packing.pack(odd, BYTE, end_id=0, spaced=True, window=64).toPandas()
-    whole = packing.encoded_partitions(odd, BYTE, 0, True).toPandas()
-    assert pieces.length.sum() == whole.doc_tokens.sum()
-    for _, own in pieces.sort_values("offset").groupby("sequence_id"):
-        assert own.offset.tolist() == np.cumsum([0, *own.length[:-1]]).tolist() and own.length.sum() <= 64
-    assert (pieces.groupby("sequence_id").length.sum().sort_index().iloc[:-1] == 64).all()
-    assert packing.pack(nothing, BYTE, end_id=0, spaced=True).count() == 0
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("ab 1'\n\té字<|>"), st.characters(exclude_categories=["Cs"])), max_size=80))
+def test_rank_encoder_equals_library(text):
+    from tokenizers import Tokenizer
+
+    global _BYTES
+    try:
+        library, own = _BYTES
+    except NameError:
+        library, own = _BYTES = Tokenizer.from_file(BYTE), RankEncoder(BYTE)
+    for t in (text, text + "<|endoftext|>" + text, "we'll " + text * 3):
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_rank_encoder_takes_odd_texts_and_merge_ranks_only():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(BYTE), RankEncoder(BYTE)
+    texts = [t or "" for t in ODD] + [" " * 50_000, "x" * 100_000, "\n" * 20_000 + "a"] + pq.read_table(f"{FOLDER}/documents.parquet")["text"].to_pylist()
+    for text, ids in zip([t or "" for t in texts], own.encode([t or "" for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    with pytest.raises((ValueError, KeyError)):
+        RankEncoder(WORD)
+
+
+@pytest.mark.parametrize("window", [64, 1024])
+def test_packing_equals_brute_force(odd, nothing, window):
+    """Every column of every piece follows from the pieces' order in the whole run and the library's ids."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE)
+    ids = Counter((r.doc_id, tuple(library.encode(r.text or "", add_special_tokens=False).ids) + (0,)) for r in odd.collect())
+    pieces = sorted(packing.pack(odd, BYTE, end_id=0, window=window).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert [(p.sequence_id * window + p.offset) for p in pieces] == np.cumsum([0, *(p.length for p in pieces[:-1])]).tolist()
+    assert all(p.length > 0 and p.offset + p.length <= window for p in pieces)
+    found, now = Counter(), []
+    for p in pieces:
+        own = np.frombuffer(p.ids, "<u4").tolist()
+        assert p.start == len(now) and p.length == len(own) and p.ids_crc32 == zlib.crc32(bytes(p.ids))
+        now += own
+        if len(now) == p.doc_tokens:
+            found[p.doc_id, tuple(now)] += 1
+            now = []
+    assert found == ids and not now
+    assert packing.pack(nothing, BYTE, end_id=0).count() == 0
 
 
 def test_near_duplicates_equal_brute_force(spark, odd, nothing):
