@@ -39,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, spaced=True).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0).drop("ids")
 
 
 STAGES = [
