@@ -37,6 +37,11 @@ TASK_PAIRS = 2_000
 SENT_IDS = 500_000
 #: Tokens that two signatures must share for an exact comparison: five standard deviations below what the limit makes likely.
 MIN_SHARED = int(SIGNATURE * PERCENT / 100 - 5 * (SIGNATURE * PERCENT * (100 - PERCENT)) ** 0.5 / 100)
+#: Tokens whose lowest bits may differ: those of two signatures at the limit differ in every tenth place on average; five deviations more.
+MAX_DIFFER = int(SIGNATURE * (100 - PERCENT) / 200 + 5 * (SIGNATURE * (100 - PERCENT) * (100 + PERCENT)) ** 0.5 / 200) + 1
+BITS = ("bits0", "bits1")
+#: What a document's row in a node carries.
+CARRIED = ("id", "size", *BITS)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -87,14 +92,22 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray, n: int = SIGNATURE) -> np.ndarray:
-    """The minwise token of the set under each of ``n`` orders, cut to 32 bits."""
-    seeds, low = _seeds(n), np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
-        for i in range(n):
-            ordered = (part ^ seeds[i]) * seeds[n - 1 - i]
-            low[i] = min(low[i], (ordered ^ (ordered >> np.uint64(32))).min())
-    return (_mix(low) >> np.uint64(32)).astype(np.uint32)
+    """The minwise token of the set under each of ``n`` orders, 32 bits."""
+    seeds = _seeds(n)
+    flips, factors = ((seeds >> np.uint64(32)).astype(np.uint32)[:, None], (seeds.astype(np.uint32) | np.uint32(1))[:, None])
+    low = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    short = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        ordered = short[at : at + 1024] ^ flips
+        np.multiply(ordered, factors, out=ordered)
+        np.minimum(low, ordered.min(axis=1), out=low)
+    return (_mix(low.astype(np.uint64) + seeds) >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch(tokens: np.ndarray) -> tuple[int, int]:
+    """The lowest bit of each of the signature's tokens, as two longs."""
+    halves = np.packbits((tokens & np.uint32(1)).astype(np.uint8)).view(">i8")
+    return int(halves[0]), int(halves[1])
 
 
 def profiles(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -102,17 +115,19 @@ def profiles(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     from hashlib import blake2b
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_slices(batches, "text", 1_000_000):
+        for batch in sized_slices(batches, "text", 250_000):
             sets, joined = shingle_sets([t or "" for t in batch.column("text").to_pylist()], shingle)
+            tokens = [signature(s) if len(s) else np.zeros(0, np.uint32) for s in sets]
             columns = [
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([blake2b(j, digest_size=16).digest() if len(s) else None for j, s in zip(joined, sets, strict=True)], pa.binary()),
-                pa.array([signature(s).view(np.int32) if len(s) else [] for s in sets], pa.list_(pa.int32())),
+                pa.array([t.view(np.int32) for t in tokens], pa.list_(pa.int32())),
+                *(pa.array([sketch(t)[k] if len(t) else 0 for t in tokens], pa.int64()) for k in (0, 1)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "words", "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "words", "tokens", *BITS])
 
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(describe, "doc_id bigint, n_shingles bigint, words binary, tokens array<int>")
+    return rows.mapInArrow(describe, "doc_id bigint, n_shingles bigint, words binary, tokens array<int>, bits0 bigint, bits1 bigint")
 
 
 def _branches(path: Column) -> Column:
@@ -122,31 +137,39 @@ def _branches(path: Column) -> Column:
     return F.when(second, F.array(draw(0), draw(1))).otherwise(F.array(draw(0)))
 
 
-def _branched(rows: DataFrame, steps: int = 1) -> tuple[DataFrame, DataFrame | None]:
-    """Branch rows of (``node``, ``id``, ``size``, ``tokens``) by the tokens at the positions that their nodes choose, some steps at once.
+def _branched(rows: DataFrame, representatives: DataFrame, steps: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """Branch rows of ``node`` and what is carried by the tokens at the positions that their nodes choose, some steps at once.
 
     Also returns the rows of nodes that become small before the last step, or None after one step: they branch no more, as whoever
-    meets in such a node is compared there.
+    meets in such a node is compared there. Signatures stay with their documents; a step joins them for the chosen token only.
     """
-    ended = None
+    ended, tokens = None, representatives.select("id", "tokens")
     for step in range(steps):
         if step:
             nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
             few = nodes.filter((F.col("n") > 1) & (F.col("n") <= LEAF)).select("node")
-            small = rows.join(few, "node", "left_semi").select("node", "id", "size")
+            small = rows.join(few, "node", "left_semi")
             ended = small if ended is None else ended.union(small)
             rows = written(rows.join(nodes.filter(F.col("n") > LEAF).select("node"), "node", "left_semi"), "path-steps")
-        chosen = rows.select("node", "id", "size", "tokens", F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
-        rows = chosen.select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), "id", "size", "tokens")
+        chosen = rows.select("node", *CARRIED, F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
+        rows = chosen.join(tokens, "id").select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), *CARRIED)
         if step < steps - 1:
             rows = written(rows, "path-steps")
-    return rows.select("node", "id", "size"), ended
+    return rows, ended
 
 
 def _roots(representatives: DataFrame, trees: int) -> DataFrame:
     """The first branching of every tree, which needs no join."""
     tree = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
-    return _branched(representatives.select("id", "size", "tokens", tree).select(F.xxhash64(F.lit("tree"), "tree").alias("node"), "id", "size", "tokens"))[0]
+    rows = representatives.select(*CARRIED, "tokens", tree).select(F.xxhash64(F.lit("tree"), "tree").alias("node"), *CARRIED, "tokens")
+    chosen = rows.select("node", *CARRIED, "tokens", F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
+    return chosen.select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), *CARRIED)
+
+
+def _sketches_allow(x: str, y: str) -> Column:
+    """Whether the lowest bits of two signatures are near enough, by a chance of about one in three million against a link."""
+    differ = [F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in BITS]
+    return differ[0] + differ[1] <= MAX_DIFFER
 
 
 def _sizes_allow(x: Column, y: Column) -> Column:
@@ -156,9 +179,9 @@ def _sizes_allow(x: Column, y: Column) -> Column:
 
 def _pairs_of(a: DataFrame, b: DataFrame, meet: Column) -> DataFrame:
     """Pairs (``a`` < ``b``) of documents that share a node, lie in different components so far and satisfy ``meet``."""
-    columns = ("node", "id", "size", "component")
+    columns = ("node", *CARRIED, "component")
     x, y = a.select(*columns).alias("x"), b.select(*columns).alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & _sizes_allow(F.col("x.size"), F.col("y.size"))
+    apart = (F.col("x.component") != F.col("y.component")) & _sizes_allow(F.col("x.size"), F.col("y.size")) & _sketches_allow("x.", "y.")
     both = x.join(y, (F.col("x.node") == F.col("y.node")) & apart & meet)
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -186,7 +209,7 @@ def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame, s
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_slices(sized_slices(batches, "tb", 500_000), "ta", 4_000_000):
+        for batch in sized_slices(sized_slices(batches, "tb", 500_000), "ta", 500_000):
             sides = [_sets_by_key(batch.column(k), batch.column(t), shingle) for k, t in (("a", "ta"), ("b", "tb"))]
             keep = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
@@ -214,7 +237,7 @@ def _in_components(rows: DataFrame, known: DataFrame | None) -> DataFrame:
 def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, steps: tuple[int, ...] = STEPS, shingle: int = SHINGLE) -> DataFrame:
     """Confirmed links (``a`` < ``b``) between documents: enough of them to connect every component the trees find.
 
-    ``representatives`` has ``id``, ``size`` (of the set) and ``tokens`` of documents with different words, ``texts`` their ``id`` and ``text``. What
+    ``representatives`` has ``id``, ``size`` (of the set), ``tokens`` and their bits of documents with different words, ``texts`` their ``id`` and ``text``. What
     lies in one component already is not compared again, and nodes that hold one component only are done. Between two
     comparisons a node that is still large branches as many ``steps`` as that level tells.
     """
@@ -223,32 +246,34 @@ def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, step
         # the smallest document is the first pivot of all trees, so that they share its pairs; deeper nodes draw theirs
         order = F.col("id") if level == 0 else F.xxhash64("node", "id")
         rows = _in_components(rows, known)
-        lead = F.min_by(F.struct(F.col("id").alias("pivot"), F.col("size").alias("pivot_size"), F.col("component").alias("main")), F.struct(order, "id")).alias("lead")
+        lead = F.min_by(F.struct(F.col("id").alias("pivot"), F.col("size").alias("pivot_size"), F.col("component").alias("main"), *(F.col(b).alias(f"pivot_{b}") for b in BITS)), F.struct(order, "id")).alias("lead")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), lead, F.min("component").alias("lo"), F.max("component").alias("hi"))
         rows = written(rows.join(sizes.filter("lo < hi").select("node", "n", "lead.*"), "node"), "path-nodes")
         small, large = rows.filter(F.col("n") <= LEAF), rows.filter(F.col("n") > LEAF)
-        star = large.filter((F.col("component") != F.col("main")) & _sizes_allow(F.col("size"), F.col("pivot_size"))).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+        near = (F.col("component") != F.col("main")) & _sizes_allow(F.col("size"), F.col("pivot_size")) & _sketches_allow("", "pivot_")
+        star = large.filter(near).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
         if ended is not None:
-            small = small.select("node", "id", "size", "component").union(_in_components(ended, known).select("node", "id", "size", "component"))
+            small = small.select("node", *CARRIED, "component").union(_in_components(ended, known).select("node", *CARRIED, "component"))
         pairs = _pairs_of(small, small, F.col("x.id") < F.col("y.id")).union(star).distinct()
         new.append(written(_confirmed(pairs, representatives, texts, shingle), "path-links"))
         if large.isEmpty():
             break
         known = components(_all_links(new, known))
         new = []
-        placed = _in_components(large.drop("component", "main"), known)
-        pivots = known.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
-        placed = written(placed.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")), "path-large")
-        apart = placed.filter("component <> main")
+        pivots = large.select("node", F.col("pivot").alias("id")).distinct()  # one row a node
+        mains = written(_in_components(pivots, known).select("node", F.col("component").alias("main")), "path-pivots")
+        placed = written(_in_components(large.select("node", *CARRIED), known), "path-large")
+        apart = placed.join(mains, (placed["node"] == mains["node"]) & (F.col("component") != F.col("main"))).select(placed["node"], *CARRIED, "component")
+        apart = written(apart, "path-apart")
         left = apart.groupBy("node").agg(F.count(F.lit(1)).alias("left_over"))
         last = level == len(steps)
         rest = apart if last else apart.join(left.filter(F.col("left_over") <= LEFT_OVER), "node", "left_semi")
-        new.append(written(_confirmed(_pairs_of(rest, placed, F.lit(True)), representatives, texts, shingle), "path-links"))
+        whole = placed.join(rest.select("node").distinct(), "node", "left_semi")
+        new.append(written(_confirmed(_pairs_of(rest, whole, F.lit(True)), representatives, texts, shingle), "path-links"))
         on = left.filter(F.col("left_over") > LEFT_OVER).select("node")
         if last or on.isEmpty():
             break
-        going_on = placed.join(on, "node", "left_semi").select("node", "id").join(representatives, "id")
-        rows, ended = _branched(going_on, steps[level])
+        rows, ended = _branched(placed.join(on, "node", "left_semi").select("node", *CARRIED), representatives, steps[level])
     return _all_links(new, known)
 
 
@@ -292,9 +317,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     described = written(profiles(documents, key, text, shingle), "shingle-profiles")
     filled = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("words").agg(F.min("doc_id").alias("id"))
-    members = filled.select("doc_id", "words", "n_shingles", "tokens").join(classes, "words")
+    members = filled.select("doc_id", "words", "n_shingles", "tokens", *BITS).join(classes, "words")
     representatives = written(
-        members.filter("doc_id = id").groupBy("id").agg(F.min("n_shingles").cast("int").alias("size"), F.min("tokens").alias("tokens")), "representatives",
+        members.filter("doc_id = id").groupBy("id").agg(F.min(F.struct(F.col("n_shingles").cast("int").alias("size"), "tokens", *BITS)).alias("own")).select("id", "own.*"),
+        "representatives",
     )
     texts = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     joined = components(links(representatives, texts, trees, shingle=shingle))
@@ -306,5 +332,5 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One document of each group: the one with the smallest key, all columns."""
     judged = near_duplicates(documents, key, text, shingle=shingle)
-    dropped = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return documents.join(dropped, documents[key] == F.col("_dropped"), "left_anti")
+    dropped = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    return documents.join(dropped, documents[key].cast("bigint") == dropped["id"], "left_anti")
