@@ -35,10 +35,11 @@ def _flags(rows: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
     return rows.select(*keys, F.lit(method).alias("method"), "idx", "period", "value")
 
 
-def control_limits(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def control_limits(trend: DataFrame, by: Sequence[str] = (), whole_series: bool = True) -> DataFrame:
     """Each point with the mean and deviation of the seven points before it, and whether it leaves the limits.
 
     Mean and deviation are taken over the seven values in order, so equal inputs always land on the same side of the limit.
+    Without ``whole_series`` the rows are a part of a series, whose length is not judged here.
     """
     keys = ["kpi", *by]
     series = Window.partitionBy(*keys)
@@ -46,7 +47,9 @@ def control_limits(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     mean = ordered_total(F.col("_trail")) / F.lit(float(CONTROL_WINDOW))
     spread = F.transform(F.col("_trail"), lambda v: (v - F.col("control_mean")) * (v - F.col("control_mean")))
     deviation = F.sqrt(ordered_total(spread) / F.lit(CONTROL_WINDOW - 1.0))
-    full = (F.count("value").over(trailing) == CONTROL_WINDOW) & (F.count("value").over(series) >= MIN_PERIODS)
+    full = F.count("value").over(trailing) == CONTROL_WINDOW
+    if whole_series:
+        full = full & (F.count("value").over(series) >= MIN_PERIODS)
     out = F.abs(F.col("value") - F.col("control_mean")) > CONTROL_SIGMAS * F.col("control_std")
     return (
         trend.withColumns({"_trail": F.collect_list("value").over(trailing), "_full": full})

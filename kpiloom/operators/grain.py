@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from kpiloom.functions.dates import Cadence, period_end, period_of, to_time
 from kpiloom.functions.exact import exact_mean, exact_sum, is_integral, is_numeric, without_nan
 from kpiloom.functions.joins import join_null_safe
+from kpiloom.functions.ranges import with_neighbours
 
 # Name parts that mark a ratio column.
 RATIO_HINTS = ("pct", "percent", "rate", "share", "fraction", "ratio")
@@ -74,8 +75,12 @@ def upsample(df: DataFrame, time_column: str, source: Cadence | str, date_format
     bounds = rows.agg(F.min(time_column).alias("lo"), F.max(time_column).alias("hi")).first()
     day = F.col(time_column)
     grid_end = period_end(F.lit(bounds["hi"]).cast("date"), grain)
-    window = Window.partitionBy(*dims).orderBy(time_column) if dims else Window.orderBy(time_column)
-    previous, following = F.lag(time_column).over(window), F.lead(time_column).over(window)
+    if dims:
+        window = Window.partitionBy(*dims).orderBy(time_column)
+        rows = rows.withColumns({"_previous": F.lag(time_column).over(window), "_next": F.lead(time_column).over(window)})
+    else:
+        rows = with_neighbours(rows, time_column)
+    following = F.col("_next")
     repeated = F.raise_error(F.lit("two rows share a period and its dimensions; aggregate them before upsampling"))
     last_day = F.when(following == day, repeated.cast("date")).otherwise(
         F.coalesce(F.date_sub(following, 1), grid_end)
@@ -86,7 +91,7 @@ def upsample(df: DataFrame, time_column: str, source: Cadence | str, date_format
         lambda d: F.struct(d.alias("d"), F.lit(False).alias("own")),
     )
     has_lead_in = F.col("_previous").isNull() & (day > F.lit(bounds["lo"]).cast("date"))
-    spread = rows.withColumn("_previous", previous).withColumn("_last", last_day)
+    spread = rows.withColumn("_last", last_day)
     spread = spread.withColumn("_day", F.explode(F.when(has_lead_in, F.concat(lead_in, own)).otherwise(own)))
     out = []
     for c in df.columns:
