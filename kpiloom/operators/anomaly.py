@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kpiloom.functions.exact import ordered_total
 from kpiloom.functions.series import change_points
 from kpiloom.model import MIN_PERIODS
+from kpiloom.operators.findings import evidence
 
 # Fixed values
 CONTROL_WINDOW = 7
@@ -175,28 +176,33 @@ def corroborated(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def anomaly_findings(marked: DataFrame, validated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One finding per flag: direction, corroborating methods, KPI status and a readable lineage."""
+def anomaly_findings(
+    marked: DataFrame, validated: DataFrame, by: Sequence[str] = (), dataset_id: str = "", source_freshness: str = ""
+) -> DataFrame:
+    """One finding per flag: direction, corroborating methods, KPI status, a readable lineage and an evidence record."""
     keys = ["kpi", *by]
     status = validated.select(F.col("kpi").alias("_kpi"), F.col("status").alias("kpi_status"), "period_count")
     labels = F.create_map(*[F.lit(x) for pair in METHOD_LABELS.items() for x in pair])
     label = F.try_element_at(labels, F.col("method"))
     joined = supported(marked, by).join(status, F.col("kpi") == F.col("_kpi"), "left").drop("_kpi")
+    kind = F.concat(F.lit("anomaly_"), "method")
+    lineage = F.array(
+        F.concat(F.lit("KPI "), "kpi"),
+        F.concat(F.lit("detector: "), label, F.lit(" at trend index "), F.col("idx").cast("string")),
+        F.concat(F.lit("period: "), F.col("period").cast("string")),
+    )
     return joined.select(
-        *keys, "method", "idx", "period", "value", "direction", "kpi_status", "period_count",
+        *keys, F.lit(dataset_id).alias("dataset_id"), "method", "idx", "period", "value", "direction", "kpi_status", "period_count",
         F.col("value").alias("statistic"),
         F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("double").alias("effect_size"),
         F.concat(F.lit("anomaly:"), "method", F.lit(":"), F.col("idx").cast("string")).alias("finding_key"),
-        F.concat(F.lit("anomaly_"), "method").alias("finding_type"),
+        kind.alias("finding_type"),
         label.alias("method_label"),
         F.transform("corroborating", lambda c: F.struct(c["method"].alias("method"), c["direction"].alias("direction"))).alias(
             "corroborating_methods"
         ),
-        F.array(
-            F.concat(F.lit("KPI "), "kpi"),
-            F.concat(F.lit("detector: "), label, F.lit(" at trend index "), F.col("idx").cast("string")),
-            F.concat(F.lit("period: "), F.col("period").cast("string")),
-        ).alias("lineage"),
+        lineage.alias("lineage"),
+        evidence(kind, label, F.col("value"), F.lit(source_freshness), lineage).alias("evidence"),
     )
 
 

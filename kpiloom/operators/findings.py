@@ -74,7 +74,7 @@ def driver_findings(
     """One finding per (KPI, dimension) with its displayed top slices and waterfall evidence.
 
     ``dimensions`` comes from ``drivers.ranked_dimensions`` and ``top`` from ``drivers.top_slices``; the slice array
-    holds only those top slices, so it stays bounded however many slices a dimension has.
+    holds only those top slices, so it stays bounded however many slices a dimension has; ``slice_count`` tells how many it has.
     """
     display = F.struct(
         "rank", "slice", half_even(F.col("before"), 4).alias("before"), half_even(F.col("after"), 4).alias("after"),
@@ -101,7 +101,7 @@ def driver_findings(
     key = F.concat(F.lit("dimension:"), "dimension")
     return rows.select(
         stable_id(F.lit("finding"), F.col("kpi"), kind, key).alias("finding_id"),
-        "kpi", kind.alias("finding_type"), key.alias("finding_key"), "dimension", "dimension_rank",
+        "kpi", F.lit(dataset_id).alias("dataset_id"), kind.alias("finding_type"), key.alias("finding_key"), "dimension", "dimension_rank", "slice_count",
         "before_period", "after_period", "before_value", "after_value", "total_movement", "residual", "slices",
         F.struct(
             F.coalesce("change_points", F.lit(0)).alias("change_points"), F.coalesce("outliers", F.lit(0)).alias("outliers")
@@ -125,7 +125,7 @@ def causal_findings(
     )
     return tests.select(
         stable_id(F.lit("finding"), F.lit(kpi), kind, key).alias("finding_id"), F.lit(kpi).alias("kpi"),
-        kind.alias("finding_type"), key.alias("finding_key"), "*",
+        F.lit(dataset_id).alias("dataset_id"), kind.alias("finding_type"), key.alias("finding_key"), "*",
         F.col("did_estimate").alias("statistic"), F.lit(kpi_status).alias("kpi_status"),
         F.lit(None).cast("bigint").alias("period_count"),
         F.array().cast("array<struct<method:string,direction:string>>").alias("corroborating_methods"),

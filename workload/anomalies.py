@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.operators import anomaly, findings, kpi
+from kpiloom.operators import anomaly, findings, kpi, long_series
 from kpiloom.session import cut_lineage
 from workload import Query, table
 from workload.kpis import LINEITEM_KPIS, lineitem_trend, lineitem_trend_sql
@@ -99,7 +99,43 @@ SELECT kpi, method, idx, direction, 'valid' AS kpi_status, period_count, support
 FROM sc"""
 
 
+def long_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event a period of its type's series, judged by ranges of 300 periods with halo rows."""
+    points = table(spark, folder, "events").select(F.col("event_type").alias("kpi"), F.col("event_id").alias("period"), "value")
+    rated = long_series.marks(long_series.trend_points(points), range_rows=300)
+    return rated.filter(F.col("control_limit_breaches") | F.col("outliers") | (F.col("idx") % 100 == 0))
+
+
+LONG_SQL = ("WITH trend AS (SELECT event_type AS kpi, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx, event_id AS period, value FROM events)"
+  + FLAGS_SQL + """, marked AS (SELECT t.kpi, t.idx, t.period, t.value, direction, false AS change_points,
+  (kpi, idx) IN (SELECT (kpi, idx) FROM breaches) AS control_limit_breaches, (kpi, idx) IN (SELECT (kpi, idx) FROM outliers) AS outliers
+  FROM trend t JOIN directed USING (kpi, idx))
+SELECT * FROM marked WHERE control_limit_breaches OR outliers OR idx % 100 = 0""")
+
+
+def evidence_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence of the findings of the two window detectors."""
+    lineitem = table(spark, folder, "lineitem")
+    statistics = cut_lineage(kpi.period_statistics(lineitem, LINEITEM_KPIS, "l_shipdate"))
+    checked = kpi.validate_kpis(statistics, LINEITEM_KPIS, lineitem.columns)
+    marked = anomaly.marks(kpi.trend_points(statistics), change_points=False)
+    found = anomaly.anomaly_findings(marked, checked, (), "lineitem-canonical", "1998-12-01")
+    return found.select(
+        "kpi", "dataset_id", "finding_key", F.col("evidence.finding_type").alias("finding_type"), F.col("evidence.method").alias("method"),
+        F.col("evidence.statistic").alias("statistic"), F.col("evidence.source_freshness").alias("source_freshness"),
+        F.array_join("evidence.lineage", "; ").alias("lineage"),
+    )
+
+
+EVIDENCE_SQL = """ SELECT kpi, 'lineitem-canonical' AS dataset_id, 'anomaly:' || method || ':' || idx AS finding_key, 'anomaly_' || method AS finding_type,
+  label AS method, value AS statistic, '1998-12-01' AS source_freshness,
+  'KPI ' || kpi || '; detector: ' || label || ' at trend index ' || idx || '; period: ' || CAST(period AS DATE) AS lineage
+FROM flags JOIN (VALUES ('control_limit_breaches', '±3σ trailing control-limit breach'), ('outliers', 'MAD outlier (modified z > 3.5)')) t(method, label) USING (method)"""
+
+
 QUERIES = {
+    "long_series_marks": Query(long_marks, LONG_SQL),
+    "anomaly_evidence": Query(evidence_records, lineitem_trend_sql() + FLAGS_SQL + EVIDENCE_SQL),
     "control_limits": Query(
         lambda s, f: anomaly.control_limit_breaches(daily(s, f)), lineitem_trend_sql() + FLAGS_SQL + " SELECT * FROM breaches"
     ),

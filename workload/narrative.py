@@ -10,6 +10,7 @@ from kpiloom.model import Kpi
 from kpiloom.operators import drivers, findings, kpi, narrative
 from kpiloom.plans import movement
 from kpiloom.session import cut_lineage
+from kpiloom.sources import datasets
 from workload import Query, rounded, table
 from workload.drivers import DIMENSIONS_SQL, ORDER_WATERFALL_SQL, did, order_waterfall
 from workload.kpis import ORDER_KPIS
@@ -17,7 +18,7 @@ from workload.kpis import ORDER_KPIS
 QUALITY = 96.5
 
 
-def order_findings(spark: SparkSession, folder: str, quality: float | None = QUALITY) -> DataFrame:
+def order_findings(spark: SparkSession, folder: str, quality: float | DataFrame | None = QUALITY) -> DataFrame:
     """Scored findings of the monthly order KPIs."""
     orders = table(spark, folder, "orders")
     statistics = cut_lineage(kpi.period_statistics(orders, ORDER_KPIS, "o_orderdate", "month"))
@@ -29,7 +30,7 @@ def order_findings(spark: SparkSession, folder: str, quality: float | None = QUA
     return findings.apply_confidence(built, quality)
 
 
-def finding_rows(spark: SparkSession, folder: str, quality: float | None) -> DataFrame:
+def finding_rows(spark: SparkSession, folder: str, quality: float | DataFrame | None) -> DataFrame:
     rows = order_findings(spark, folder, quality)
     return rows.select(
         "finding_id", "kpi", "finding_type", "dimension", "dimension_rank", F.size("slices").cast("bigint").alias("slice_count"),
@@ -247,7 +248,17 @@ def full_report(spark: SparkSession, folder: str) -> DataFrame:
     return report.insights.select("insight_id", "kpi", F.array_join("bullets", "\n").alias("bullets"), "paragraph", "level")
 
 
+def by_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings with the score of the weakest source of their dataset."""
+    members = spark.createDataFrame([("orders-canonical", ["orders", "customer"]), ("other", ["customer"])], "dataset_id string, source_ids array<string>")
+    reports = spark.createDataFrame([("orders", QUALITY), ("customer", 12.0)], "source_id string, score double")
+    return finding_rows(spark, folder, datasets.weakest_quality(members, reports))
+
+
 QUERIES = {
+    "findings_by_dataset_quality": Query(
+        by_dataset, finding_sql("12", "data-quality score 12.0/100", "0.0", "underlying data quality above 60 (currently 12.0); ")
+    ),
     "driver_findings": Query(
         lambda s, f: finding_rows(s, f, QUALITY), finding_sql("96.5", "data-quality score 96.5/100", "((96.5 - 40.0) / 60.0)", "")
     ),
