@@ -1,10 +1,14 @@
 """Personal data in whole texts, with DataFrame functions only.
 
-Four kinds have exact patterns. From them the contextual part starts: every match is a seed, the word before it (with what is
-attached in front of the match) is a lexical pattern, and tokens that look like identifiers and stand behind the same pattern
-are instances too. Scores run over the graph of patterns and instances: a pattern is as sure as the share of its word's
-occurrences in the whole corpus that stand before sure instances, an instance as sure as its patterns together. Instances
-behind high-confidence patterns are new findings of the kind ``id``.
+Four kinds have exact patterns. From them the contextual part starts: every match is a seed, and so is a token with digits behind
+a written label such as ``token =`` or ``account no.``. The word before a seed (with what is attached in front of it) is a lexical
+pattern, and tokens that look like identifiers and stand behind the same pattern are instances too. Scores run over the graph of
+patterns and instances: a pattern is as sure as the share of its word's occurrences in the whole corpus that stand before sure
+instances, an instance as sure as its patterns together. Sure instances induce patterns in turn, until no new one appears.
+Labelled tokens and those behind high-confidence patterns are new findings of the kind ``id``, unless they overlap a base match.
+
+Defined results: a null text is empty and has no findings; rows that repeat get the same findings; an empty table has none; other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +31,20 @@ KINDS = {
 }
 #: What a text must contain for a kind to be possible.
 _NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-#: Tokens with letters and digits that may be identifiers; no part of an address.
-CANDIDATE = r"(?<![A-Za-z0-9_@.%+-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{6,}+(?![@]|\.[A-Za-z0-9])"
+#: Tokens with digits that may be identifiers; no part of an address.
+CANDIDATE = r"(?<![A-Za-z0-9_@.%+-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+(?![@]|\.[A-Za-z0-9])"
+#: Written labels right before an identifier.
+LABEL = (
+    r"(?i)(?<![A-Za-z0-9])(?:access[ _-]?key|account|api[ _-]?key|iban|licen[cs]e|passport|passw(?:or)?d|passwd|secret|ssn|token)[\"']?"
+    r"\s*(?:[:=#]|no\.|number:?)\s*[\"'(]*$"
+)
 DISCOVERED = "id"
 _BLANK, _VISIBLE = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-#: Code points before a match in which the pattern's word must lie.
+#: Code points before a match that are searched first; where the word is not whole there, all text after the match before is.
 CONTEXT = 64
 _BLOCK = 256
 
+#: Scorings of the graph after each induction.
 ROUNDS, MIN_CONFIDENCE, MIN_SEEDS = 3, 0.5, 2
 
 
@@ -77,7 +87,7 @@ def _valid(kind: str, hit: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(8, 15)
     if kind == DISCOVERED:
-        return (F.length(digits) >= 3) & ~hit.rlike("[0-9][0-9-]{12,}")
+        return F.length(digits) >= 3
     return F.lit(True)
 
 
@@ -91,23 +101,29 @@ def _luhn(digits: Column) -> Column:
 
 
 def found_in(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (kind, start, end, value, word, attached) of the valid matches; null if there are none at all.
+    """Array of (kind, start, end, value, word, attached, labelled) of the valid matches; null if there are none at all.
 
     Positions are code points, the end exclusive. ``word`` is the blank-delimited word before the match and ``attached`` what
-    stands between; they are null where the word does not lie within ``CONTEXT`` code points after the match before.
+    stands between; they are null where no word lies between the match and the one before it.
     """
 
     def located(p: Column) -> Column:
         hits, gaps = p["hits"], p["gaps"]
         steps = F.transform(hits, lambda _, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(hits, i - 1)), F.lit(0)))
-        before = rf"^(?s:.*?)({_VISIBLE}+){_BLANK}+({_VISIBLE}*)$"
+        before = rf"({_VISIBLE}+){_BLANK}+({_VISIBLE}*)$"
+        inside, anywhere = rf"^(?s:.*?){_BLANK}{before}", rf"^(?s:.*?){before}"
 
         def span(start: Column, i: Column) -> Column:
-            hit, near = F.get(hits, i), F.right(F.get(gaps, i), F.lit(CONTEXT))
+            hit, gap = F.get(hits, i), F.get(gaps, i)
+            near = F.right(gap, F.lit(CONTEXT))
+
+            def context(group: int) -> Column:
+                return F.when(near.rlike(inside), F.regexp_extract(near, inside, group)).when(gap.rlike(anywhere), F.regexp_extract(gap, anywhere, group))
+
             return F.struct(
                 F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value"),
-                F.when(near.rlike(before), F.lower(F.regexp_extract(near, before, 1))).alias("word"),
-                F.when(near.rlike(before), F.regexp_extract(near, before, 2)).alias("attached"),
+                F.lower(context(1)).alias("word"), context(2).alias("attached"),
+                (near.rlike(LABEL) if kind == DISCOVERED else F.lit(False)).alias("labelled"),
             )
 
         return let(prefix_sums(steps), lambda starts: F.filter(F.transform(starts, span), lambda s: _valid(kind, s["value"])))
@@ -115,7 +131,7 @@ def found_in(text: Column, kind: str, pattern: str) -> Column:
     return let(_parts(text, pattern, _NEEDED.get(kind)), lambda p: F.when(p.isNotNull(), located(p)))
 
 
-SPAN = "array<struct<kind:string,start:int,end:int,value:string,word:string,attached:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,value:string,word:string,attached:string,labelled:boolean>>"
 
 
 def with_spans(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -124,7 +140,9 @@ def with_spans(documents: DataFrame, text: str = "text") -> DataFrame:
     value = whole_text(text)
     each = [F.coalesce(found_in(value, kind, pattern), none).cast(SPAN) for kind, pattern in KINDS.items()]
     candidates = F.coalesce(found_in(value, DISCOVERED, CANDIDATE), none).cast(SPAN)
-    return documents.withColumns({"_spans": F.concat(*each), "_candidates": candidates})
+    both = documents.withColumns({"_spans": F.concat(*each), "_candidates": candidates})
+    apart = F.filter("_candidates", lambda c: ~F.exists("_spans", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    return both.withColumn("_candidates", apart)
 
 
 def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -142,49 +160,66 @@ def confident_patterns(
     joined, so a frequent context is one row for each of its distinct instances.
     """
     rows = found.select(F.explode(F.concat("_spans", "_candidates")).alias("s")).select("s.*").filter("word IS NOT NULL")
-    edges = rows.groupBy("word", "attached", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind") != DISCOVERED).alias("seed"))
-    edges = written(edges, "pii-edges")
-    induced = edges.groupBy("word", "attached").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds")).filter(F.col("seeds") >= seeds)
-    known = induced.join(corpus_words, "word").select("word", "attached", "in_corpus")
-    graph = written(edges.join(known, ["word", "attached"]), "pii-graph")
-    scores = graph.select("value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    patterns = None
-    for _ in range(rounds):
-        sure = graph.join(scores, "value").groupBy("word", "attached").agg(
-            F.least(F.lit(1.0), F.sum(F.col("score") * F.col("n")) / F.max("in_corpus")).alias("confidence")
-        )
-        patterns = written(sure, "pii-patterns")
-        doubt = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))
-        scores = graph.join(patterns, ["word", "attached"]).groupBy("value").agg(
-            F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt)).alias("score")
-        )
-    return patterns.filter(F.col("confidence") >= confidence)
+    seed = (F.col("kind") != DISCOVERED) | F.col("labelled")
+    edges = written(rows.groupBy("word", "attached", "value").agg(F.count(F.lit(1)).alias("n"), F.max(seed).alias("seed")), "pii-edges")
+    first = edges.groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
+    scores, patterns, known = first, None, -1
+    while True:
+        sure = scores.filter(F.col("score") >= confidence).select("value")
+        induced = edges.join(sure, "value").groupBy("word", "attached").agg(F.count(F.lit(1)).alias("sure")).filter(F.col("sure") >= seeds)
+        used = induced.join(corpus_words, "word").select("word", "attached", "in_corpus")
+        if patterns is not None:  # what was induced once stays, so the number of patterns only grows
+            used = used.unionByName(graph.select("word", "attached", "in_corpus")).distinct()
+        graph = written(edges.join(used, ["word", "attached"]), "pii-graph")
+        now = graph.select("word", "attached").distinct().count()
+        if now == known:
+            return patterns.filter(F.col("confidence") >= confidence)
+        known = now
+        for _ in range(rounds):
+            weighed = graph.join(scores, "value").groupBy("word", "attached").agg(
+                F.least(F.lit(1.0), F.sum(F.col("score") * F.col("n")) / F.max("in_corpus")).alias("confidence")
+            )
+            patterns = written(weighed, "pii-patterns")
+            doubt = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))
+            behind = graph.join(patterns, ["word", "attached"]).groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt)).alias("score"))
+            scores = first.filter(F.col("score") > 0).unionByName(behind).groupBy("value").agg(F.max("score").alias("score"))
 
 
 def discovered(found: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
     """Per document (its key and a hash of its text) the candidates behind confident patterns, by start."""
-    rows = found.filter(F.size("_candidates") > 0).select(key, "_hash", F.explode("_candidates").alias("s"))
-    rows = rows.select(key, "_hash", "s.*").join(patterns, ["word", "attached"])
-    new = F.struct("kind", "start", "end", "value", "word", "attached")
-    return rows.groupBy(key, "_hash").agg(F.array_sort(F.collect_set(new)).alias("_discovered"))
+    rows = found.filter(F.size("_candidates") > 0).select(F.col(key).alias("key"), F.col("_hash").alias("hash"), F.explode("_candidates").alias("s"))
+    rows = rows.select("key", "hash", "s.*").join(patterns, ["word", "attached"], "left").filter(F.col("labelled") | F.col("confidence").isNotNull())
+    new = F.struct("kind", "start", "end", "value", "word", "attached", "labelled")
+    return rows.groupBy("key", "hash").agg(F.array_sort(F.collect_set(new)).alias("_discovered"))
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """The name with underscores in front until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
 def find(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``_spans`` (base) and ``_discovered`` to all rows; a null text is empty and has neither.
+    """Add two columns to all rows: ``_spans`` (base) and ``_discovered``, with more underscores where a name is taken.
 
-    Repeated rows with equal key and text get the same findings. The table of findings is written once.
+    They are the last two, where ``report`` and ``redact`` look for them. Repeated rows with equal key and text get the same
+    findings. The table of findings is written once.
     """
-    columns = documents.columns
-    scanned = with_spans(documents.select(*columns), text).withColumn("_hash", F.xxhash64(text))
-    small = written(scanned.select(key, "_hash", "_spans", "_candidates").filter(F.size("_candidates") + F.size("_spans") > 0), "pii-found")
-    new = discovered(small, confident_patterns(small, word_counts(documents, text)), key)
-    per_row = small.select(key, "_hash", "_spans").dropDuplicates([key, "_hash"]).alias("b")
-    both = per_row.join(new.alias("d"), F.col(f"b.{key}").eqNullSafe(F.col(f"d.{key}")) & (F.col("b._hash") == F.col("d._hash")), "left")
-    both = both.select(F.col(f"b.{key}").alias("_key"), F.col("b._hash").alias("_own"), "_spans", "_discovered")
-    rows = documents.withColumn("_hash", F.xxhash64(text))
-    joined = rows.join(both, rows[key].eqNullSafe(both["_key"]) & (rows["_hash"] == both["_own"]), "left")
+    slim = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    scanned = with_spans(slim).withColumn("_hash", F.xxhash64("text"))
+    small = written(scanned.select("key", "_hash", "_spans", "_candidates").filter(F.size("_candidates") + F.size("_spans") > 0), "pii-found")
+    new = discovered(small, confident_patterns(small, word_counts(slim)), "key")
+    per_row = small.select("key", "_hash", "_spans").dropDuplicates(["key", "_hash"]).alias("b")
+    both = per_row.join(new.alias("d"), F.col("b.key").eqNullSafe(F.col("d.key")) & (F.col("b._hash") == F.col("d.hash")), "left")
+    both = both.select(F.struct(F.col("b.key").alias("key"), F.col("b._hash").alias("hash")).alias("of"), "_spans", "_discovered")
+    # the documents' columns go as one struct, so that none of their names can clash
+    rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"))
+    here = F.struct(F.col(f"row.`{key}`").alias("key"), F.xxhash64(F.col(f"row.`{text}`")).alias("hash"))
+    joined = rows.join(both, here.eqNullSafe(F.col("of")), "left")
     none = F.array().cast(SPAN)
-    return joined.select(*columns, F.coalesce("_spans", none).alias("_spans"), F.coalesce("_discovered", none).alias("_discovered"))
+    names = [_free(n, documents.columns) for n in ("_spans", "_discovered")]
+    return joined.select("row.*", *(F.coalesce(n, none).alias(name) for n, name in zip(("_spans", "_discovered"), names, strict=True)))
 
 
 def _listed(spans: Column) -> Column:
@@ -193,10 +228,10 @@ def _listed(spans: Column) -> Column:
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts per kind, a digest of the base spans and the list of all spans of each document."""
-    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    spans, new = found.columns[-2:]
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select(
-        key, *map(count, KINDS), F.sha2(_listed(F.col("_spans")), 256).alias("base_sha256"),
-        _listed(F.concat("_spans", "_discovered")).alias("spans"),
+        key, *map(count, KINDS), F.sha2(_listed(F.col(spans)), 256).alias("base_sha256"), _listed(F.concat(spans, new)).alias("spans"),
     )
 
 
@@ -205,13 +240,14 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
 
     Kinds go in the order listed; what a kind has replaced is no longer seen by the next.
     """
-    touched = F.size("_spans") + F.size("_discovered") > 0
+    spans, new = found.columns[-2:]
+    touched = F.size(spans) + F.size(new) > 0
     value = F.col(text)
     for kind, pattern in [*KINDS.items(), (DISCOVERED, CANDIDATE)]:
-        wanted = F.transform(F.filter("_discovered", lambda s: s["kind"] == kind), lambda s: s["value"])
+        wanted = F.transform(F.filter(new, lambda s: s["kind"] == kind), lambda s: s["value"])
         value = let(value, _replacing(kind, pattern, wanted))
     clean = F.when(touched, value).otherwise(F.col(text))
-    return found.withColumn(text, clean).drop("_spans", "_discovered")
+    return found.withColumn(text, clean).drop(spans, new)
 
 
 def _replacing(kind: str, pattern: str, wanted: Column) -> Callable[[Column], Column]:

@@ -282,6 +282,36 @@ def brute_spans(text):
     return ",".join(found)
 
 
+def test_pii_discovers_by_labels_and_in_two_hops(spark):
+    texts = {
+        1: 'login token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ok', 2: 'token = "aaaabbbbccccddddeeeeffff0000111122223333" then',
+        3: 'x = "55556666777788889999" y',  # behind the pattern that labels induce: digits only
+        4: "zorg 55556666777788889999 a", 5: "zorg aaaabbbbccccddddeeeeffff0000111122223333 b", 6: "zorg DE89370400440532013000 c",  # second hop
+        7: "the year 123456789 and part ab1234567 of it", 8: "at a@b.co", 9: "at c@d.co", 10: "at 482910384" + " w" * 100, 11: None, 12: "",
+        13: "iban:" + " " * 90 + "'XX12345678'", 14: "at" + " " * 200 + "123-45-6789",
+    }
+    rows = [(i, t, "s", "d", "h") for i, t in texts.items()] + [(7, texts[7], "s", "d", "h"), (None, texts[1], "s", "d", "h")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _spans string, _discovered string, _hash string")
+    found = pii.find(df)
+    assert found.columns[:-2] == df.columns and found.count() == len(rows)
+    values = {r["doc_id"]: {s["value"] for s in r[len(df.columns) + 1]} for r in found.collect()}
+    assert {k: v for k, v in values.items() if v} == {
+        None: {"04dbebab91ab85687d33eeaaf9ac699e1188f962"}, 1: {"04dbebab91ab85687d33eeaaf9ac699e1188f962"}, 2: {"aaaabbbbccccddddeeeeffff0000111122223333"},
+        3: {"55556666777788889999"}, 4: {"55556666777788889999"}, 5: {"aaaabbbbccccddddeeeeffff0000111122223333"}, 6: {"DE89370400440532013000"},
+        10: {"482910384"}, 14: {"123-45-6789"},
+    }
+    clean = {r.doc_id: r for r in pii.redact(found).collect()}
+    assert clean[6].text == "zorg [ID] c" and clean[7].text == texts[7] and clean[6]["_spans"] == "s" and clean[11].text is None
+
+
+def test_pii_finds_planted_tokens_only(spark):
+    found = pii.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("text", "_discovered").collect()
+    planted = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    wanted = [set(planted.findall(r.text or "")) for r in found]
+    got = [{s["value"] for s in r["_discovered"]} for r in found]
+    assert sum(map(len, wanted)) > 5 and got == wanted
+
+
 def test_pii_equals_brute_force_and_discovers(spark, nothing):
     texts = [
         "a@b.c@d.e %x@f.g.h a@b-c.d%e@f.g", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111 1111 1111 1111 4111111111111112", "+1 (234) 555-1234 +49 30 1234567. ++1 2",
