@@ -31,10 +31,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and ``n_chars`` counted anew where a text changed."""
+    found = pii.find(docs)
+    touched = F.size(found.columns[-2]) + F.size(found.columns[-1]) > 0
+    marked = found.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_chars"], F.struct("n_chars", touched.alias("anew")).alias("n_chars"), *found.columns[-2:])
+    clean = pii.redact(marked)
     kind = docs.schema["n_chars"].dataType
-    clean = pii.redact(pii.find(docs.withColumn("_before", F.xxhash64("text"))))
-    changed = ~F.xxhash64("text").eqNullSafe(F.col("_before"))
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(docs.columns)
+    size = F.when(F.col("n_chars.anew"), F.length("text").cast(kind)).otherwise(F.col("n_chars.n_chars"))
+    return clean.withColumn("n_chars", size).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
