@@ -193,7 +193,16 @@ ROUND_TRIP_SQL = """SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority EN
   CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1"""
 
 
+def by_reference(spark: SparkSession, folder: str, name: str, filetype: str) -> DataFrame:
+    """A table written as a dataset and read through the catalog's row for it, all columns."""
+    path = datasets.write_dataset(table(spark, folder, name), new_folder(spark, name), filetype)
+    rows = [("u", "other", f"{path}-none", "parquet"), ("u", name, path, f".{filetype.upper()}"), ("v", name, f"{path}-none", "csv")]
+    return datasets.read_dataset(spark, spark.createDataFrame(rows, "user_id string, dataset_id string, path string, filetype string"), "u", name)
+
+
 QUERIES = {
+    "dataset_by_reference": Query(lambda s, f: by_reference(s, f, "orders", "parquet"), "SELECT * FROM orders"),
+    "dataset_by_reference_csv": Query(lambda s, f: by_reference(s, f, "customer", "csv"), "SELECT * FROM customer"),
     "latest_wins": Query(latest, LATEST_SQL),
     "stored_latest_wins": Query(stored_latest, STORED_LATEST_SQL),
     "stored_cascade_delete": Query(
