@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.functions.exact import exact_quantiles
+from kpiloom.functions.exact import doubles
+from kpiloom.functions.selection import Selection
 
 # Fixed values
 SPIKE_FACTOR = 3.0
@@ -115,9 +116,11 @@ def drop(trend: DataFrame, kpi: str, period, name: str, factor: float = DROP_FAC
 
 
 def level_shift(df: DataFrame, column: str, time_column: str, split, name: str, factor: float = SHIFT_FACTOR) -> DataFrame:
-    """The median after the split exceeds the median before it by the factor. Medians are exact and distributed."""
-    before = exact_quantiles(df.filter(F.col(time_column) < F.lit(split)), [column], [0.5])[column][0.5]
-    after = exact_quantiles(df.filter(F.col(time_column) >= F.lit(split)), [column], [0.5])[column][0.5]
+    """The median after the split exceeds the median before it by the factor. Both medians, exact and distributed, come from one selection."""
+    value = doubles(df, [column])[column]
+    early = F.col(time_column) < F.lit(split)
+    sides = Selection(df, {"before": F.when(early, value), "after": F.when(~early, value)}).quantiles([0.5])
+    before, after = sides["before"][0.5], sides["after"][0.5]
     known = before is not None and after is not None
     ratio = after / before if known and before else None
     row = [(name, bool(known and after > factor * before), ratio)]
