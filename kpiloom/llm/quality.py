@@ -172,19 +172,22 @@ class BoostedTrees:
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Trees:
     """Fit to at most ``sample`` labelled documents, chosen by a hash of their ids.
 
-    Repeated labels of a document count by their mean; labels or ids that are null are left out. Without labels, or with one
-    class only, every document gets the same score.
+    Repeated labels of a document count by their mean, and rows that repeat an id count once, by the smallest of their features, so
+    ``sample`` bounds the rows as well. Labels or ids that are null are left out. Without labels or documents, or with one class
+    only, every document gets the same score.
     """
     labelled = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.avg("quality").alias("_y"))
     chosen = labelled.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("text", "_y")
+    rows = documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "_y")
+    kind = rows.schema["_id"].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(batches, "text"):
             found = [document_statistics(t or "")[1] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("_y")], names=["x", "_y"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.list_(pa.float64())), batch.column("_y")], names=["_id", "x", "_y"])
 
-    got = rows.mapInArrow(features, "x array<double>, _y double").collect()
+    each = rows.mapInArrow(features, f"_id {kind}, x array<double>, _y double")
+    got = each.groupBy("_id").agg(F.min("x").alias("x"), F.min("_y").alias("_y")).collect()  # a row for each chosen label at most
     if not got:
         return BoostedTrees([0] * len(FEATURES)).fit(np.zeros((1, len(FEATURES))), np.ones(1))
     x, y = np.array([r.x for r in got]), np.array([float(r._y >= 0.5) for r in got])

@@ -257,6 +257,32 @@ def test_quality_counts_and_monotone_trees(spark, odd, nothing):
     assert quality.score(nothing, quality.fit(nothing, labels.limit(0))).count() == 0
 
 
+def brute_quality(text):
+    words = re.findall("[^\x20\x09-\x0D]+", text or "")
+    lines = [line for line in (text or "").split("\n") if re.search("[^\x20\x09-\x0D]", line)]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    repeated = sum(any(windows[tuple(words[j : j + 5])] > 1 for j in range(max(0, i - 4), min(i, len(words) - 5) + 1)) for i in range(len(words)))
+    n = len(words)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), repeated, n < 10 or 100 * repeated > 20 * n
+
+
+def test_quality_counts_equal_brute_force(spark, odd):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    trees = quality.fit(documents, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    got = quality.score(documents, trees).collect()
+    wanted = Counter((r.doc_id, *brute_quality(r.text)) for r in documents.collect())
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == wanted
+    assert not any(r.kept and r.base_failed for r in got) and any(r.kept for r in got)
+
+
+def test_quality_sample_bounds_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.BoostedTrees, "fit", lambda self, x, y: seen.append(len(x)) or self)
+    documents = spark.range(500).select((F.col("id") % 5).alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"))
+    quality.fit(documents, spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id bigint, quality int"), sample=3)
+    assert seen == [3]
+
+
 def test_quality_held_out_accuracy(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     trees = quality.fit(documents, labels.filter("doc_id % 2 = 0"))
