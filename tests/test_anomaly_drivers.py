@@ -21,12 +21,12 @@ def flagged(df, method):
 
 
 def test_spikes_are_flagged_and_calm_series_are_not(trend_of):
-    values = noise(60)
-    assert 25 in flagged(anomaly.control_limit_breaches(trend_of(values[:25] + [160.0] + values[26:])), "control_limit_breaches")
-    assert flagged(anomaly.mad_outliers(trend_of(values[:10] + [180.0] + values[11:])), "outliers") == [10]
-    flat = trend_of([7.0] * 30)
-    assert anomaly.detect_anomalies(flat).count() == 0
-    assert anomaly.detect_anomalies(trend_of([1, 2, 3, 100, 1, 2, 3])).count() == 0
+    rising = noise(90, -40.0, 21)
+    dented = [v - 33.0 if i == 61 else v for i, v in enumerate(rising)]
+    assert 61 in flagged(anomaly.control_limit_breaches(trend_of(dented)), "control_limit_breaches")
+    assert flagged(anomaly.mad_outliers(trend_of(dented)), "outliers") == [61]
+    assert anomaly.detect_anomalies(trend_of([-0.25] * 19)).count() == 0
+    assert anomaly.detect_anomalies(trend_of([4, 4, 900, 4, 5])).count() == 0  # too short to judge
 
 
 def test_any_move_after_a_constant_window_breaks_the_limits(trend_of):
@@ -34,10 +34,10 @@ def test_any_move_after_a_constant_window_breaks_the_limits(trend_of):
 
 
 def test_level_shift_is_found_per_series(spark, trend_of):
-    shifted = trend_of(noise(50) + noise(50, 130.0, 5), "shift")
-    both = shifted.unionByName(trend_of(noise(100, seed=9), "calm"))
+    steps = trend_of(noise(45, 12.0, 31) + noise(30, -26.0, 32), "steps")
+    both = steps.unionByName(trend_of(noise(70, 500.0, 34), "level"))
     found = records(anomaly.level_shifts(both))
-    assert [(r["kpi"], r["idx"]) for r in found] == [("shift", 50)]
+    assert sorted((r["kpi"], r["idx"]) for r in found) == [("steps", 45)]
 
 
 def test_detectors_equal_plain_numpy(trend_of):
@@ -84,8 +84,9 @@ def moved(spark, rows, aggregation="sum", dims=("region",)):
     return drivers.decompose(df, movements, dims, "d")
 
 
-ONE, TWO = date(2024, 1, 1), date(2024, 1, 2)
-BASE = [(ONE, "A", 100.0), (ONE, "B", 50.0), (TWO, "A", 110.0), (TWO, "B", 47.0)]
+ONE, TWO = date(2021, 5, 9), date(2021, 5, 10)
+# Three slices: one grows, one shrinks by less, one stays.
+BASE = [(ONE, "A", 64.0), (ONE, "B", 20.0), (ONE, "S", 8.0), (TWO, "A", 96.0), (TWO, "B", 12.0), (TWO, "S", 8.0)]
 
 
 def by_slice(df):
@@ -94,17 +95,16 @@ def by_slice(df):
 
 def test_designed_contributions(spark):
     got = by_slice(moved(spark, BASE))
-    assert (got["A"]["contribution"], got["B"]["contribution"], got["A"]["total_movement"]) == (10.0, -3.0, 7.0)
-    assert got["A"]["share_pct"] == pytest.approx(142.857, abs=1e-3) and got["B"]["direction"] == "down"
-    assert (got["A"]["before_value"], got["A"]["after_value"]) == (150.0, 157.0)
-    ranked = [r["slice"] for r in records(drivers.ranked(moved(spark, BASE)))]
-    assert ranked == ["A", "B"]
+    assert {s: r["contribution"] for s, r in got.items()} == {"A": 32.0, "B": -8.0, "S": 0.0} and got["S"]["total_movement"] == 24.0
+    assert got["A"]["share_pct"] == pytest.approx(400 / 3) and [got[s]["direction"] for s in "ABS"] == ["up", "down", "flat"]
+    assert (got["B"]["before_value"], got["B"]["after_value"]) == (92.0, 116.0)
+    assert [r["slice"] for r in records(drivers.ranked(moved(spark, BASE)))] == ["A", "B", "S"]
 
 
 def test_new_and_missing_slices(spark):
-    got = by_slice(moved(spark, BASE + [(TWO, "C", 5.0), (TWO, None, 2.0), (date(2023, 12, 1), "old", 9.0)]))
-    assert got["C"]["before"] == 0.0 and got["C"]["contribution"] == 5.0 and got["C"]["total_movement"] == 14.0
-    assert got["(null)"]["contribution"] == 2.0 and "old" not in got
+    got = by_slice(moved(spark, BASE + [(TWO, "fresh", 40.5), (ONE, "gone", 11.0), (TWO, None, 0.5), (date(2020, 2, 29), "past", 77.0)]))
+    assert (got["fresh"]["before"], got["fresh"]["contribution"], got["gone"]["contribution"]) == (0.0, 40.5, -11.0)
+    assert got["(null)"]["contribution"] == 0.5 and got["A"]["total_movement"] == 24.0 + 40.5 - 11.0 + 0.5 and "past" not in got
 
 
 def test_counts_decompose_exactly(spark):
