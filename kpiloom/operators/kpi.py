@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpiloom.functions.dates import period_of, to_time
 from kpiloom.functions.exact import exact_sum, is_numeric, small_mean, without_nan
@@ -15,6 +16,8 @@ from kpiloom.model import MIN_PERIODS, Kpi
 
 BASELINE_WINDOW = 7
 ZERO_DENOMINATOR = 1e-12
+#: Code points of a text that an error shows.
+SHOWN = 80
 
 
 # --- discovery -------------------------------------------------------------------------------------------------------
@@ -54,51 +57,74 @@ def as_kpis(discovered: DataFrame, dataset_id: str = "") -> list[Kpi]:
 # --- trend -----------------------------------------------------------------------------------------------------------
 
 
+def _can_be_number(data_type: T.DataType) -> bool:
+    return is_numeric(data_type) or isinstance(data_type, T.StringType)
+
+
+def _read_as_number(kpi: Kpi, types: dict[str, T.DataType]) -> bool:
+    """Whether the KPI needs the numbers that a text column holds."""
+    return kpi.aggregation != "count" and isinstance(types[kpi.measure], T.StringType)
+
+
 def period_statistics(
     df: DataFrame, kpis: Sequence[Kpi], time_column: str | None, grain: str = "day",
     by: Sequence[str] = (), date_format: str | None = None,
 ) -> DataFrame:
-    """One row per (KPI, period, extra keys): value, non-null values and largest absolute value.
+    """One row per (KPI, period, extra keys): value, non-null values, largest absolute value and error.
 
     Rows whose time is missing stay as a null period, for validation over the whole table. Every measure is summed and
-    counted once however many KPIs use it, then the few result rows are unpivoted.
+    counted once however many KPIs use it, then the few result rows are unpivoted. A text measure is read as numbers. What
+    cannot be computed, a text that is no number, a decimal total beyond its type or a total that is not finite, is told in
+    ``error``; its value is null and all other KPIs go on.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    usable = [k for k in kpis if k.measure in types and (k.aggregation == "count" or is_numeric(types[k.measure]))]
-    measures = {(k.measure, k.scale): i for i, k in enumerate(usable)}
+    usable = [k for k in kpis if k.measure in types and (k.aggregation == "count" or _can_be_number(types[k.measure]))]
+    measures = {(k.measure, k.scale, _read_as_number(k, types)): i for i, k in enumerate(usable)}
     if time_column is None:
         period = F.lit(None).cast("date")
     else:
         period = period_of(to_time(F.col(time_column), types[time_column], date_format), grain)
     aggregates = [F.count(F.lit(1)).alias("rows")]
-    for (c, scale), i in measures.items():
-        cell = without_nan(F.col(c), types[c])
-        aggregates.append(F.count(cell).alias(f"n{i}"))
-        if is_numeric(types[c]):
-            aggregates.append(exact_sum(F.col(c), types[c], scale).alias(f"s{i}"))
+    for (c, scale, read), i in measures.items():
+        stored, data_type = F.col(f"`{c}`"), T.DoubleType() if read else types[c]
+        cell = without_nan(stored.try_cast("double") if read else stored, data_type)
+        aggregates.append(F.count(stored if read else cell).alias(f"n{i}"))
+        if read:
+            no_number = stored.isNotNull() & stored.try_cast("double").isNull()
+            aggregates += [F.count(cell).alias(f"m{i}"), F.min(F.when(no_number, F.substring(stored, 1, SHOWN))).alias(f"t{i}")]
+        if is_numeric(data_type):
+            decimal = isinstance(data_type, T.DecimalType)
+            aggregates.append((F.try_sum(cell).cast("double") if decimal else exact_sum(cell, data_type, scale)).alias(f"s{i}"))
             aggregates.append(F.max(F.abs(cell)).cast("double").alias(f"x{i}"))
-    keys = [F.col(b) for b in by]
+    keys = [F.col(f"`{b}`") for b in by]
     grouped = df.groupBy(period.alias("period"), *keys) if time_column is not None else df.groupBy(*keys)
     wide = grouped.agg(*aggregates)
     if time_column is None:
         wide = wide.withColumn("period", F.lit(None).cast("date"))
     points = []
     for k in usable:
-        i = measures[(k.measure, k.scale)]
-        has_sum = is_numeric(types[k.measure])
+        read = _read_as_number(k, types)
+        i = measures[(k.measure, k.scale, read)]
+        has_sum, total = read or is_numeric(types[k.measure]), F.col(f"s{i}")
+        numbers = F.col(f"m{i}" if read else f"n{i}")
+        error = F.lit(None).cast("string")
         if k.aggregation == "count":
             value = F.col(f"n{i}").cast("double")
-        elif k.aggregation == "sum":
-            value = F.coalesce(F.col(f"s{i}"), F.lit(0.0))
         else:
-            value = F.try_divide(F.col(f"s{i}"), F.col(f"n{i}").cast("double"))
+            value = F.coalesce(total, F.lit(0.0)) if k.aggregation == "sum" else F.try_divide(total, numbers.cast("double"))
+            error = F.when((numbers > 0) & total.isNull(), F.lit("total exceeds its type")).when(
+                F.isnan(total) | (F.abs(total) == float("inf")), F.lit("total is not finite")
+            )
+            if read:
+                text = F.col(f"t{i}")
+                error = F.when(text.isNotNull(), F.concat(F.lit("'"), text, F.lit("' is no number"))).otherwise(error)
         points.append(
             F.struct(
-                F.lit(k.name).alias("kpi"), value.alias("value"), F.col(f"n{i}").alias("value_count"),
-                (F.col(f"x{i}") if has_sum else F.lit(None).cast("double")).alias("max_abs"),
+                F.lit(k.name).alias("kpi"), F.when(error.isNull(), value).alias("value"), F.col(f"n{i}").alias("value_count"),
+                (F.col(f"x{i}") if has_sum else F.lit(None).cast("double")).alias("max_abs"), error.alias("error"),
             )
         )
-    empty = F.array().cast("array<struct<kpi:string,value:double,value_count:bigint,max_abs:double>>")
+    empty = F.array().cast("array<struct<kpi:string,value:double,value_count:bigint,max_abs:double,error:string>>")
     return wide.select("period", *by, F.inline(F.array(*points) if points else empty))
 
 
@@ -129,7 +155,8 @@ def validate_kpis(statistics: DataFrame, kpis: Sequence[Kpi], columns: Sequence[
         [(k.name, k.measure, k.aggregation, k.measure in columns) for k in kpis],
         "kpi string, measure string, aggregation string, column_exists boolean",
     )
-    in_trend = F.col("value").isNotNull() & (F.col("period").isNotNull() if has_time else F.lit(True))
+    known = F.col("value").isNotNull() | F.col("error").isNotNull()
+    in_trend = known & (F.col("period").isNotNull() if has_time else F.lit(True))
     checked = statistics.groupBy("kpi").agg(
         F.count_if(in_trend).alias("period_count"),
         F.sum("value_count").alias("value_count"),
@@ -209,11 +236,43 @@ def compute_kpis(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return summarize(trend, by).join(intervals, keys, "left")
 
 
-def batch_results(validated: DataFrame, computed: DataFrame) -> DataFrame:
-    """Every KPI with its computation. Invalid ones stay visible without one; a valid KPI without result is a failure."""
-    joined = validated.join(computed.drop("period_count").withColumn("_done", F.lit(True)), "kpi", "left")
-    failed = (F.col("status") != "invalid") & F.col("_done").isNull()
-    return joined.withColumn("error", F.when(failed, F.lit("no computation"))).drop("_done")
+def failures(statistics: DataFrame, has_time: bool = True) -> DataFrame:
+    """``(kpi, error)`` of every KPI with a period that could not be computed: the text of the earliest such period."""
+    rows = statistics.filter(F.col("error").isNotNull())
+    if has_time:
+        rows = rows.filter(F.col("period").isNotNull())
+        error = F.concat(F.col("period").cast("string"), F.lit(": "), F.col("error"))
+    else:
+        error = F.col("error")
+    first = rows.groupBy("kpi").agg(F.min(F.struct("period", error.alias("error"))).alias("first"))
+    return first.select("kpi", "first.error")
+
+
+def batch_results(validated: DataFrame, computed: DataFrame, failing: DataFrame | None = None) -> DataFrame:
+    """Every KPI with its computation. Invalid ones stay visible without one; a KPI that cannot be computed is a failure
+    with its text, and so is a valid KPI without result."""
+    computed = computed.drop("period_count")
+    if failing is not None:
+        computed = computed.join(failing, "kpi", "left_anti")
+    joined = validated.join(computed.withColumn("_done", F.lit(True)), "kpi", "left")
+    missing = F.when(F.col("_done").isNull(), F.lit("no computation"))
+    if failing is None:
+        return joined.withColumn("error", F.when(F.col("status") != "invalid", missing)).drop("_done")
+    joined = joined.join(failing, "kpi", "left")
+    return joined.withColumn("error", F.when(F.col("status") != "invalid", F.coalesce("error", missing))).drop("_done")
+
+
+def run_batch(
+    statistics: DataFrame, kpis: Sequence[Kpi], columns: Sequence[str], has_time: bool = True, intervals: bool = True
+) -> DataFrame:
+    """Validate and compute all KPIs at once from their statistics; one that fails does not stop the others.
+
+    ``intervals`` adds the bootstrap interval of each period mean.
+    """
+    validated, failing = validate_kpis(statistics, kpis, columns, has_time), failures(statistics, has_time)
+    sound = computable(validated).select("kpi").join(failing, "kpi", "left_anti")
+    trend = trend_points(statistics, has_time=has_time).join(sound, "kpi", "left_semi")
+    return batch_results(validated, compute_kpis(trend) if intervals else summarize(trend), failing)
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 from datetime import date, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -76,6 +77,33 @@ def test_batch_keeps_invalid_and_reports_failed(spark):
     assert records(kpi.batch_summary(results)) == [{"processed": 2, "failed": 1, "failures": ["c"]}]
 
 
+def test_failing_kpis_do_not_stop_the_batch(spark):
+    rows = [(date(2024, 1, 1 + i // 2), f"{i}.5", "x" if i == 13 else "y" if i == 17 else str(i), 1.7e308, Decimal(9 * 10**37), float(i)) for i in range(20)]
+    rows.append((None, "1.0", "unread", 1.0, Decimal(1), 1.0))  # no time: in no trend, so its text does no harm
+    df = spark.createDataFrame(rows, "d date, good string, bad string, wide double, fixed decimal(38,0), `a.b` double")
+    kpis = [Kpi("good"), Kpi("good", "avg"), Kpi("bad"), Kpi("bad", "count"), Kpi("wide", "avg"), Kpi("fixed"), Kpi("a.b"), Kpi("none")]
+    results = kpi.run_batch(kpi.period_statistics(df, kpis, "d"), kpis, df.columns)
+    by = {r["kpi"]: r for r in records(results)}
+    assert {k: r["error"] for k, r in by.items() if r["error"]} == {
+        "sum(bad)": "2024-01-07: 'x' is no number", "avg(wide)": "2024-01-01: total is not finite",
+        "sum(fixed)": "2024-01-01: total exceeds its type",
+    }
+    assert by["sum(bad)"]["status"] == "valid" and by["sum(bad)"]["value"] is None
+    assert (by["sum(good)"]["value"], by["avg(good)"]["value"], by["count(bad)"]["value"], by["sum(a.b)"]["value"]) == (38.0, 19.0, 2.0, 37.0)
+    assert by["sum(none)"]["status"] == "invalid" and by["sum(good)"]["confidence_interval"] is not None
+    assert records(kpi.batch_summary(results)) == [
+        {"processed": 5, "failed": 3, "failures": ["avg(wide)", "sum(bad)", "sum(fixed)"]}
+    ]
+
+
+def test_failure_without_time_and_text_that_only_holds_numbers(spark):
+    df = spark.createDataFrame([("1",), (None,), ("two",)], "v string")
+    statistics = kpi.period_statistics(df, [Kpi("v")], None)
+    assert records(kpi.failures(statistics, has_time=False)) == [{"kpi": "sum(v)", "error": "'two' is no number"}]
+    sound = kpi.period_statistics(df.filter("v <> 'two'"), [Kpi("v")], None)
+    assert sound.first()["value"] == 1.0 and kpi.failures(sound, has_time=False).isEmpty()
+
+
 def score(spark, values, **settings):
     summary = kpi.summarize(trend(spark, frame(spark, values), Kpi("revenue")))
     return records(materiality.score_materiality(summary, **settings))[0]["materiality"]

@@ -143,10 +143,24 @@ def validated(spark: SparkSession, folder: str) -> DataFrame:
     return validation(spark, folder)[0]
 
 
+def _batch_kpis() -> list[Kpi]:
+    """The KPIs above and five over measures that cannot be computed in part or hold numbers as text."""
+    return _validation_kpis() + [
+        Kpi("number_text", "sum", scale=2), Kpi("broken_text", "sum", scale=2), Kpi("broken_text", "count"),
+        Kpi("huge_decimal", "sum"), Kpi("huge_double", "avg"),
+    ]
+
+
 def batch(spark: SparkSession, folder: str) -> DataFrame:
-    checked, statistics = validation(spark, folder)
-    trend = kpi.trend_points(statistics)
-    results = kpi.batch_results(checked, kpi.summarize(trend.join(kpi.computable(checked).select("kpi"), "kpi", "left_semi")))
+    last = F.col("o_orderkey") % 1000 == 7
+    frame = _validation_frame(spark, folder).withColumns({
+        "number_text": F.col("o_totalprice").cast("string"),
+        "broken_text": F.when(last, F.concat(F.lit("n/a "), "o_orderkey")).otherwise(F.col("o_totalprice").cast("string")),
+        "huge_decimal": F.lit("9" * 38).cast("decimal(38,0)"),
+        "huge_double": F.when(F.to_date("o_orderdate") < "2000-01-01", 1.7e308).otherwise(1.0),
+    })
+    statistics = cut_lineage(kpi.period_statistics(frame, _batch_kpis(), "o_orderdate"))
+    results = kpi.run_batch(statistics, _batch_kpis(), frame.columns, intervals=False)
     return results.select("kpi", "status", "period_count", "value", "baseline", "error")
 
 
@@ -155,6 +169,28 @@ def batch_counts(spark: SparkSession, folder: str) -> DataFrame:
     return summary.select("processed", "failed", F.array_join("failures", ", ").alias("failures"))
 
 
+# The values follow from the orders; the failures from the first day that holds a broken text or two huge numbers.
+BATCH_SQL = VALIDATION_SQL + f""",
+days AS (SELECT d AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n,
+  CAST(sum(CAST(lw AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(lw), 0) AS late,
+  min('n/a ' || o_orderkey) FILTER (o_orderkey % 1000 = 7) AS broken FROM f GROUP BY d),
+trend AS (SELECT 'sum(o_totalprice)' AS kpi, period, total AS value FROM days
+  UNION ALL SELECT 'sum(number_text)', period, total FROM days
+  UNION ALL SELECT 'avg(o_totalprice)', period, total / n FROM days
+  UNION ALL SELECT 'count(o_orderstatus)', period, CAST(n AS DOUBLE) FROM days
+  UNION ALL SELECT 'count(broken_text)', period, CAST(n AS DOUBLE) FROM days
+  UNION ALL SELECT 'avg(last_week_only)', period, late FROM days WHERE late IS NOT NULL),
+{SUMMARY_SQL},
+told AS (SELECT 'sum(broken_text)' AS kpi, min(period || ': ''' || broken || ''' is no number') AS error FROM days
+  UNION ALL SELECT 'sum(huge_decimal)', min(period || ': total exceeds its type') FILTER (n > 1) FROM days
+  UNION ALL SELECT 'avg(huge_double)', min(period || ': total is not finite') FILTER (n > 1 AND period < DATE '2000-01-01') FROM days),
+every AS (SELECT kpi, status, period_count FROM validated
+  UNION ALL SELECT k, 'valid', (SELECT count(*) FROM days) FROM (VALUES ('sum(number_text)'), ('sum(broken_text)'), ('count(broken_text)'),
+    ('sum(huge_decimal)'), ('avg(huge_double)')) t(k)),
+results AS (SELECT e.kpi, e.status, e.period_count, s.value, s.baseline, told.error FROM every e
+  LEFT JOIN summary s ON e.kpi = s.kpi AND e.status <> 'invalid' LEFT JOIN told ON e.kpi = told.kpi)"""
+
+
 def contracts(spark: SparkSession, folder: str) -> DataFrame:
     """Contracts of orders and lineitem, from their profiles. Written once: they are read as a stored table."""
     profiles = profile.profile(table(spark, folder, "orders"), "orders", ["o_orderkey"]).unionByName(
@@ -261,9 +297,11 @@ UNION ALL SELECT 'avg(l_discount)', 0, c FROM w UNION ALL SELECT 'rate(l_tax)',
     "kpi_status_counts": Query(
         lambda s, f: kpi.status_counts(validated(s, f)), VALIDATION_SQL + " SELECT status, count(*) AS kpis FROM validated GROUP BY status"
     ),
+    "kpi_batch_results": Query(batch, BATCH_SQL + " SELECT * FROM results"),
     "kpi_batch_summary": Query(
         batch_counts,
-        VALIDATION_SQL + " SELECT count(*) AS processed, CAST(0 AS BIGINT) AS failed, '' AS failures FROM validated",
+        BATCH_SQL + """ SELECT count(*) FILTER (error IS NULL) AS processed, count(*) FILTER (error IS NOT NULL) AS failed,
+          string_agg(kpi, ', ' ORDER BY kpi) FILTER (error IS NOT NULL) AS failures FROM results""",
     ),
     "kpi_discovery": Query(discovery, DISCOVERY_SQL),
     "merged_dimensions": Query(
