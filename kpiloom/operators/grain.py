@@ -13,6 +13,7 @@ from kpiloom.functions.dates import Cadence, period_end, period_of, to_time
 from kpiloom.functions.exact import exact_mean, exact_sum, is_integral, is_numeric, without_nan
 from kpiloom.functions.joins import join_null_safe
 from kpiloom.functions.ranges import with_neighbours
+from kpiloom.operators.join_keys import as_mapping, found_formats, infer_join_keys
 
 # Name parts that mark a ratio column.
 RATIO_HINTS = ("pct", "percent", "rate", "share", "fraction", "ratio")
@@ -43,7 +44,10 @@ def _parts(df: DataFrame, time_column: str) -> tuple[list[str], list[str]]:
 
 
 def downsample(df: DataFrame, time_column: str, to: Cadence | str, date_format: str | None = None) -> DataFrame:
-    """One row per (target period, dimensions): ratios average, other numbers sum. Null keys keep their own group."""
+    """One row per (target period, dimensions): ratios average, other numbers sum. Null keys keep their own group.
+
+    A total of whole numbers beyond 64 bits is null.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     dims, values = _parts(df, time_column)
     ratios = ratio_columns(df, values)
@@ -51,11 +55,12 @@ def downsample(df: DataFrame, time_column: str, to: Cadence | str, date_format:
     aggregates = []
     for c in values:
         if c in ratios:
-            aggregates.append(exact_mean(F.col(c), types[c]).alias(c))
+            aggregates.append(exact_mean(F.col(f"`{c}`"), types[c]).alias(c))
         elif is_integral(types[c]):
-            aggregates.append(F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)).alias(c))
+            whole = F.col(f"`{c}`").cast("bigint")
+            aggregates.append(F.when(F.count(whole) == 0, F.lit(0)).otherwise(F.try_sum(whole)).alias(c))
         else:
-            aggregates.append(F.coalesce(exact_sum(F.col(c), types[c]), F.lit(0.0)).alias(c))
+            aggregates.append(F.coalesce(exact_sum(F.col(f"`{c}`"), types[c]), F.lit(0.0)).alias(c))
     grouped = df.withColumn(time_column, start).groupBy(time_column, *dims).agg(*aggregates)
     return grouped.select(*df.columns)
 
@@ -134,6 +139,22 @@ def _day_key(column: Column, data_type: T.DataType, date_format: str | None) ->
     return to_time(column, data_type, date_format)
 
 
+def _with_found_times(source: Source, keys: Sequence[str] | None) -> Source:
+    """The source with the time keys that its content shows where it declares none; ``keys`` limits what is looked at."""
+    types = {f.name: f.dataType for f in source.df.schema.fields}
+    undeclared = [c for c, found in source.time_keys.items() if found is None and isinstance(types.get(c), T.StringType)]
+    if source.time_keys and not undeclared and keys is not None:
+        return source
+    looked_at = undeclared if source.time_keys and keys is not None else (source.df.columns if keys is None else keys)
+    declared = {c: found for c, found in source.time_keys.items() if c not in undeclared}
+    found = {**found_formats(source.df, [c for c in looked_at if c not in declared]), **declared}
+    missing = [c for c in undeclared if c not in found]
+    if missing:
+        raise ValueError(f"no date format fits column {missing[0]!r}")
+    time_column = source.time_column or (next(iter(found)) if len(found) == 1 else None)
+    return Source(source.df, source.cadence, time_column, found.get(time_column, source.date_format), found)
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join where null keys match; columns the left side already has are dropped from the right side."""
     overlap = [c for c in right.columns if c in left.columns and c not in keys]
@@ -141,16 +162,22 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 
 def reconcile(
-    sources: Sequence[Source], join_keys: dict[str, dict[int, str]], target: Cadence | str | None = None
+    sources: Sequence[Source], join_keys: dict[str, dict[int, str]] | None = None, target: Cadence | str | None = None
 ) -> DataFrame:
     """One canonical table: align every source, normalize and rename its keys, then left-join in source order.
 
-    ``join_keys`` maps each common key to the column of every source by index. One source is returned unchanged.
+    ``join_keys`` maps each common key to the column of every source by index; without it keys are found by content. A
+    source that declares no time column, or a text one without its format, has its time keys found by content too. Keys whose
+    types differ between sources join as text. One source is returned unchanged.
     """
     if not sources:
         raise ValueError("reconcile needs at least one source")
     if len(sources) == 1:
         return sources[0].df
+    sources = [_with_found_times(s, None if join_keys is None else [c[i] for c in join_keys.values() if i in c]) for i, s in enumerate(sources)]
+    if join_keys is None:
+        frames = [s.df for s in sources]
+        join_keys = as_mapping(infer_join_keys(frames, [s.time_keys for s in sources]), frames)
     wanted = Cadence.parse(target) if target is not None else min(s.cadence for s in sources)
     frames = []
     for i, source in enumerate(sources):
@@ -161,6 +188,11 @@ def reconcile(
             if column in types and (column in source.time_keys):
                 frame = frame.withColumn(column, _day_key(F.col(column), types[column], source.time_keys[column]))
         frames.append(frame.withColumnsRenamed({c[i]: k for k, c in join_keys.items() if c.get(i) in frame.columns}))
+    for common in join_keys:
+        holding = [i for i, f in enumerate(frames) if common in f.columns]
+        if len({isinstance(frames[i].schema[common].dataType, T.StringType) for i in holding}) > 1:
+            for i in holding:
+                frames[i] = frames[i].withColumn(common, F.col(f"`{common}`").cast("string"))
 
     def add(left: DataFrame, item: tuple[int, DataFrame]) -> DataFrame:
         index, right = item

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.functions.dates import Cadence
-from kpiloom.operators import grain
+from kpiloom.operators import grain, join_keys
+from kpiloom.session import cut_lineage
 from workload import Query, small_total, table
 
 
@@ -83,6 +84,49 @@ w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, o_orderstatu
 SELECT day, d.status, revenue, weekly_orders FROM d ASOF LEFT JOIN w ON d.status = w.status AND d.day >= w.week"""
 
 
+def mixed_cadence_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with days as text and nothing declared: time columns, their format and the keys are found by content."""
+    day = table(spark, folder, "orders").groupBy(F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"), "o_orderstatus").agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue")
+    )
+    week = table(spark, folder, "orders").groupBy(F.trunc(F.to_date("o_orderdate"), "week").alias("week_start"), F.col("o_orderstatus").alias("state")).agg(
+        F.count(F.lit(1)).alias("weekly_orders")
+    )
+    sources = [grain.Source(cut_lineage(day), Cadence.DAILY), grain.Source(cut_lineage(week), Cadence.WEEKLY)]
+    joined = grain.reconcile(sources)
+    return joined.select(F.to_date("day").alias("day"), F.col("o_orderstatus").alias("status"), "revenue", "weekly_orders")
+
+
+KEYED_TABLES = ("lineitem", "orders", "customer", "nation", "region", "supplier")
+
+
+def found_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """How six tables join, by their values alone. Customer and supplier texts are codes of their rows."""
+    frames = [table(spark, folder, t) for t in KEYED_TABLES]
+    pairs = [(KEYED_TABLES[p.left], p.left_column, KEYED_TABLES[p.right], p.right_column, p.unique, p.shared) for p in join_keys.infer_join_keys(frames)]
+    return spark.createDataFrame(pairs, "left_table string, left_column string, right_table string, right_column string, is_unique boolean, shared long")
+
+
+def found_keys_sql() -> str:
+    """Every pair of whole-number or text columns of an earlier and a later table, counted exactly; the most alike unique one."""
+    columns = {
+        "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+        "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+        "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    }
+    values = " UNION ALL ".join(
+        f"SELECT {place} AS place, '{t}' AS tab, '{c}' AS col, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY v"
+        for place, t in enumerate(KEYED_TABLES) for c in columns[t]
+    )
+    return f"""WITH vals AS ({values}),
+sizes AS (SELECT place, tab, col, count(*) AS d, sum(n) AS n FROM vals GROUP BY ALL),
+shared AS (SELECT l.tab AS lt, l.col AS lc, r.tab AS rt, r.col AS rc, count(*) AS shared FROM vals l JOIN vals r ON l.v = r.v AND l.place < r.place GROUP BY ALL)
+SELECT lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column, true AS is_unique, shared FROM shared
+JOIN sizes l ON l.tab = lt AND l.col = lc JOIN sizes r ON r.tab = rt AND r.col = rc
+WHERE r.d >= 0.95 * r.n AND shared >= 0.8 * l.d
+QUALIFY row_number() OVER (PARTITION BY rt ORDER BY shared / (l.d + r.d - shared) DESC, l.place, lc, rc) = 1"""
+
+
 def ratios(spark: SparkSession, folder: str) -> DataFrame:
     """Which numeric columns average instead of sum."""
     df = daily_sales(spark, folder)
@@ -106,6 +150,8 @@ QUERIES = {
     ),
     "left_join_chain": Query(customer_chain, CHAIN_SQL),
     "reconcile_mixed_cadence": Query(mixed_cadence, MIXED_SQL),
+    "reconcile_found_keys": Query(mixed_cadence_found, MIXED_SQL),
+    "join_keys_found": Query(found_keys, found_keys_sql()),
     "ratio_columns": Query(
         ratios, """SELECT 'lines' AS "column", min(l_linenumber) >= 0 AND max(l_linenumber) <= 1 AS is_ratio FROM lineitem
           UNION ALL SELECT 'revenue', min(l_extendedprice) >= 0 AND max(l_extendedprice) <= 1 FROM lineitem
