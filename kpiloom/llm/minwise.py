@@ -25,8 +25,10 @@ SHINGLE, PERCENT = 4, 80
 #: Target: a pair at the limit whose nodes stay large to the deepest level (depth 11) is missed by all trees with less than 0.15%, averaged
 #: over how many positions of the signature agree (64 positions and 10 trees: 5.0%; 128 and 24: 0.146%).
 SIGNATURE, TREES = 128, 24
+#: Branchings of every tree before the first comparison; they need no join.
+ROOT_STEPS = 2
 #: Branchings of a large node between one comparison and the next.
-STEPS = (2, 4, 4)
+STEPS = (1, 4, 4)
 #: Documents of a node that are compared all with all.
 LEAF = 24
 #: Documents outside the pivot's component that are compared with their whole node; more let the node branch on.
@@ -150,7 +152,7 @@ def _branched(rows: DataFrame, representatives: DataFrame, steps: int = 1) -> tu
             few = nodes.filter((F.col("n") > 1) & (F.col("n") <= LEAF)).select("node")
             small = rows.join(few, "node", "left_semi")
             ended = small if ended is None else ended.union(small)
-            rows = written(rows.join(nodes.filter(F.col("n") > LEAF).select("node"), "node", "left_semi"), "path-steps")
+            rows = rows.join(nodes.filter(F.col("n") > LEAF).select("node"), "node", "left_semi")
         chosen = rows.select("node", *CARRIED, F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
         rows = chosen.join(tokens, "id").select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), *CARRIED)
         if step < steps - 1:
@@ -159,11 +161,13 @@ def _branched(rows: DataFrame, representatives: DataFrame, steps: int = 1) -> tu
 
 
 def _roots(representatives: DataFrame, trees: int) -> DataFrame:
-    """The first branching of every tree, which needs no join."""
+    """The first branchings of every tree, which need no join: each document has its tokens at hand."""
     tree = F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
     rows = representatives.select(*CARRIED, "tokens", tree).select(F.xxhash64(F.lit("tree"), "tree").alias("node"), *CARRIED, "tokens")
-    chosen = rows.select("node", *CARRIED, "tokens", F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
-    return chosen.select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), *CARRIED)
+    for _ in range(ROOT_STEPS):
+        chosen = rows.select("node", *CARRIED, "tokens", F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
+        rows = chosen.select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), *CARRIED, "tokens")
+    return rows.drop("tokens")
 
 
 def _sketches_allow(x: str, y: str) -> Column:
