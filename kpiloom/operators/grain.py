@@ -177,7 +177,9 @@ def reconcile(
     sources = [_with_found_times(s, None if join_keys is None else [c[i] for c in join_keys.values() if i in c]) for i, s in enumerate(sources)]
     if join_keys is None:
         frames = [s.df for s in sources]
-        join_keys = as_mapping(infer_join_keys(frames, [s.time_keys for s in sources]), frames)
+        coarsest = max(s.cadence for s in sources)
+        compared = "timestamp" if all(s.cadence == coarsest for s in sources) else coarsest.grain
+        join_keys = as_mapping(infer_join_keys(frames, [s.time_keys for s in sources], compared), frames)
     wanted = Cadence.parse(target) if target is not None else min(s.cadence for s in sources)
     frames = []
     for i, source in enumerate(sources):

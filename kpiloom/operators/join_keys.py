@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiloom.functions.dates import DATE_FORMATS, best_format, is_time_type, parses_as, to_time
+from kpiloom.functions.dates import DATE_FORMATS, best_format, is_time_type, parses_as, period_of, to_time
 from kpiloom.functions.exact import is_integral
 from kpiloom.session import cut_lineage
 
@@ -69,12 +69,12 @@ def found_formats(df: DataFrame, columns: Sequence[str] | None = None) -> dict[s
     return found
 
 
-def _comparable(df: DataFrame, formats: dict[str, str | None]) -> dict[str, tuple[str, Column]]:
-    """Kind and comparable text of every column that could be a key: times, texts and whole numbers."""
+def _comparable(df: DataFrame, formats: dict[str, str | None], grain: str) -> dict[str, tuple[str, Column]]:
+    """Kind and comparable text of every column that could be a key: times by their period, texts and whole numbers."""
     out = {}
     for f in df.schema.fields:
         if f.name in formats:
-            out[f.name] = ("time", to_time(_column(f.name), f.dataType, formats[f.name]).cast("string"))
+            out[f.name] = ("time", period_of(to_time(_column(f.name), f.dataType, formats[f.name]), grain).cast("string"))
         elif is_integral(f.dataType) or (isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0):
             out[f.name] = ("code", _column(f.name).cast("string"))
         elif isinstance(f.dataType, T.StringType):
@@ -161,17 +161,20 @@ def _chosen(pairs: Sequence[KeyPair]) -> list[KeyPair]:
     return out
 
 
-def infer_join_keys(frames: Sequence[DataFrame], formats: Sequence[dict[str, str | None]] | None = None) -> list[KeyPair]:
+def infer_join_keys(
+    frames: Sequence[DataFrame], formats: Sequence[dict[str, str | None]] | None = None, grain: str = "timestamp"
+) -> list[KeyPair]:
     """How each source after the first joins with the sources before it.
 
     A column that identifies its rows joins the earlier column most like it, if 80% of that column's distinct values are found in
     it. A source without such a column joins by all text and time columns of which, on the side with fewer values, 80% are
     found on the other and that have at least two values. Numbers join by columns that identify rows only, since ranges of
     small numbers overlap by chance. Nulls do not count; a source that shares nothing, or is empty, gets no key. Times compare
-    as times, whatever their type or text format; whole numbers compare with equal texts.
+    by their period of ``grain``, whatever their type or text format: where one source is weekly, a day that it does not name is no
+    difference. Whole numbers compare with equal texts.
     """
     formats = [found_formats(df) for df in frames] if formats is None else formats
-    columns = [_comparable(df, found) for df, found in zip(frames, formats, strict=True)]
+    columns = [_comparable(df, found, grain) for df, found in zip(frames, formats, strict=True)]
     if len(frames) < 2 or not all(columns):
         return []
     possible = _possible(_sketches(frames, columns)).collect()  # at most one row for each pair of columns

@@ -54,6 +54,15 @@ def test_dates_of_different_formats_and_cadence(spark):
     assert all(r["staff"] == 10 * ((r["bought"].date() - start).days // 7) for r in rows)
 
 
+def test_weeks_join_days_that_never_name_their_first_day(spark):
+    monday = date(2023, 1, 2)
+    day = spark.createDataFrame([((monday + timedelta(days=i)).strftime("%d.%m.%Y"), i) for i in range(35) if i % 7], "d string, n long")
+    week = spark.createDataFrame([(monday + timedelta(weeks=i), i) for i in range(5)], "w date, week long")
+    assert found([day, week]) == []
+    rows = records(grain.reconcile([grain.Source(day, "Daily"), grain.Source(week, "Weekly")]))
+    assert len(rows) == 30 and all(r["week"] == r["n"] // 7 for r in rows)
+
+
 def test_given_keys_find_their_date_format(spark):
     a = spark.createDataFrame([("2024/03/01", 1), ("2024/03/02", 2)], "d string, x long")
     b = spark.createDataFrame([("01.03.2024", 5), ("02.03.2024", 6)], "e string, y long")
