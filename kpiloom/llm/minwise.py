@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.llm.common import sized_slices, written
@@ -29,8 +29,9 @@ SIGNATURE, TREES = 128, 24
 STEPS = (2, 4, 4)
 #: Documents of a node that are compared all with all.
 LEAF = 24
-#: Documents outside the pivot's component that are compared with their whole node; more let the node branch on.
-LEFT_OVER = 8
+#: Documents outside the pivot's component that are compared with their whole node; more let the node branch on. No document meets
+#: more by their sketches in a node, which costs less than the branchings it spares; the few pairs left are judged once.
+LEFT_OVER = 512
 #: Pairs that one task confirms at a time.
 TASK_PAIRS = 2_000
 #: At most so many ids are sent to all tasks.
@@ -130,6 +131,11 @@ def profiles(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     return rows.mapInArrow(describe, "doc_id bigint, n_shingles bigint, words binary, tokens array<int>, bits0 bigint, bits1 bigint")
 
 
+def _over_node(figure: Column) -> Column:
+    """A figure of the row's node; rows are dealt to their nodes once, where a join with the nodes' figures would deal both."""
+    return figure.over(Window.partitionBy("node"))
+
+
 def _branches(path: Column) -> Column:
     """The one or two signature positions that a node chooses: 1.25 on average, the inverse of the limit."""
     draw = lambda salt: F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(SIGNATURE)).cast("int")
@@ -145,16 +151,12 @@ def _branched(rows: DataFrame, representatives: DataFrame, steps: int = 1) -> tu
     """
     ended, tokens = None, representatives.select("id", "tokens")
     for step in range(steps):
-        if step:
-            nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-            few = nodes.filter((F.col("n") > 1) & (F.col("n") <= LEAF)).select("node")
-            small = rows.join(few, "node", "left_semi")
-            ended = small if ended is None else ended.union(small)
-            rows = written(rows.join(nodes.filter(F.col("n") > LEAF).select("node"), "node", "left_semi"), "path-steps")
         chosen = rows.select("node", *CARRIED, F.explode(F.array_distinct(_branches(F.col("node")))).alias("place"))
         rows = chosen.join(tokens, "id").select(F.xxhash64("node", "place", F.get("tokens", F.col("place"))).alias("node"), *CARRIED)
         if step < steps - 1:
-            rows = written(rows, "path-steps")
+            met = written(rows.withColumn("n", _over_node(F.count(F.lit(1)))).filter("n > 1"), "path-steps")
+            small, rows = met.filter(F.col("n") <= LEAF).drop("n"), met.filter(F.col("n") > LEAF).drop("n")
+            ended = small if ended is None else ended.union(small)
     return rows, ended
 
 
@@ -203,10 +205,12 @@ def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame, s
     # few ids go to the scan of the texts, so that only needed texts are shuffled; more than the bound are joined by a shuffle
     needed = texts.join(F.broadcast(ids) if size.ids <= SENT_IDS else ids, "id", "left_semi")
     texts = needed.groupBy("id").agg(F.min("text").alias("text"))  # repeated keys count as one document
-    # pairs of one document are many, but pairs as such spread evenly
-    spread = near.repartition(1 + size.pairs // TASK_PAIRS, "a", "b")
-    rows = spread.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    # a number of tasks by pairs, as pairs with their texts are far larger than both sides of the joins
+    tasks = 1 + size.pairs // TASK_PAIRS
+    rows = near
+    for k in ("b", "a"):
+        rows = rows.repartition(tasks, k).join(texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")).repartition(tasks, k), k)
+    rows = rows.select("a", "b", "ta", "tb")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(sized_slices(batches, "tb", 500_000), "ta", 500_000):
@@ -221,6 +225,14 @@ def _confirmed(pairs: DataFrame, representatives: DataFrame, texts: DataFrame, s
     return rows.mapInArrow(confirm, "a bigint, b bigint")
 
 
+def _unjudged(pairs: DataFrame, judged: list[DataFrame]) -> DataFrame:
+    """The pairs that were not among those ``judged`` before; they are judged from now on."""
+    for before in judged:
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
+    judged.append(written(pairs, "path-judged"))
+    return judged[-1]
+
+
 def _sets_by_key(keys: pa.Array, texts: pa.Array, shingle: int) -> dict[int, np.ndarray]:
     """The shingle set of each distinct key; each text is turned into its set once."""
     at = {k: i for i, k in reversed(list(enumerate(keys.to_pylist())))}
@@ -239,41 +251,40 @@ def links(representatives: DataFrame, texts: DataFrame, trees: int = TREES, step
 
     ``representatives`` has ``id``, ``size`` (of the set), ``tokens`` and their bits of documents with different words, ``texts`` their ``id`` and ``text``. What
     lies in one component already is not compared again, and nodes that hold one component only are done. Between two
-    comparisons a node that is still large branches as many ``steps`` as that level tells.
+    comparisons a node that is still large branches as many ``steps`` as that level tells. A pair is judged once, however many
+    nodes it meets in.
     """
-    rows, known, new, ended = _roots(representatives, trees), None, [], None
+    rows, known, new, ended, judged = _roots(representatives, trees), None, [], None, []
     for level in range(len(steps) + 1):
         # the smallest document is the first pivot of all trees, so that they share its pairs; deeper nodes draw theirs
         order = F.col("id") if level == 0 else F.xxhash64("node", "id")
         rows = _in_components(rows, known)
-        lead = F.min_by(F.struct(F.col("id").alias("pivot"), F.col("size").alias("pivot_size"), F.col("component").alias("main"), *(F.col(b).alias(f"pivot_{b}") for b in BITS)), F.struct(order, "id")).alias("lead")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), lead, F.min("component").alias("lo"), F.max("component").alias("hi"))
-        rows = written(rows.join(sizes.filter("lo < hi").select("node", "n", "lead.*"), "node"), "path-nodes")
+        lead = F.min_by(F.struct(F.col("id").alias("pivot"), F.col("size").alias("pivot_size"), F.col("component").alias("main"), *(F.col(b).alias(f"pivot_{b}") for b in BITS)), F.struct(order, "id"))
+        figures = {"n": F.count(F.lit(1)), "lo": F.min("component"), "hi": F.max("component"), "lead": lead}
+        rows = rows.select("*", *(_over_node(f).alias(name) for name, f in figures.items())).filter("lo < hi")
+        rows = written(rows.select("node", *CARRIED, "component", "n", "lead.*"), "path-nodes")
         small, large = rows.filter(F.col("n") <= LEAF), rows.filter(F.col("n") > LEAF)
         near = (F.col("component") != F.col("main")) & _sizes_allow(F.col("size"), F.col("pivot_size")) & _sketches_allow("", "pivot_")
         star = large.filter(near).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
         if ended is not None:
             small = small.select("node", *CARRIED, "component").union(_in_components(ended, known).select("node", *CARRIED, "component"))
         pairs = _pairs_of(small, small, F.col("x.id") < F.col("y.id")).union(star).distinct()
-        new.append(written(_confirmed(pairs, representatives, texts, shingle), "path-links"))
+        new.append(written(_confirmed(_unjudged(pairs, judged), representatives, texts, shingle), "path-links"))
         if large.isEmpty():
             break
         known = components(_all_links(new, known))
         new = []
-        pivots = large.select("node", F.col("pivot").alias("id")).distinct()  # one row a node
-        mains = written(_in_components(pivots, known).select("node", F.col("component").alias("main")), "path-pivots")
-        placed = written(_in_components(large.select("node", *CARRIED), known), "path-large")
-        apart = placed.join(mains, (placed["node"] == mains["node"]) & (F.col("component") != F.col("main"))).select(placed["node"], *CARRIED, "component")
-        apart = written(apart, "path-apart")
-        left = apart.groupBy("node").agg(F.count(F.lit(1)).alias("left_over"))
-        last = level == len(steps)
-        rest = apart if last else apart.join(left.filter(F.col("left_over") <= LEFT_OVER), "node", "left_semi")
-        whole = placed.join(rest.select("node").distinct(), "node", "left_semi")
-        new.append(written(_confirmed(_pairs_of(rest, whole, F.lit(True)), representatives, texts, shingle), "path-links"))
-        on = left.filter(F.col("left_over") > LEFT_OVER).select("node")
-        if last or on.isEmpty():
+        placed = _in_components(large.select("node", "pivot", *CARRIED), known)
+        placed = placed.withColumn("main", _over_node(F.max(F.when(F.col("id") == F.col("pivot"), F.col("component")))))
+        placed = placed.withColumn("left_over", _over_node(F.count(F.when(F.col("component") != F.col("main"), 1))))
+        placed = written(placed.filter("left_over > 0"), "path-large")
+        done = F.lit(level == len(steps)) | (F.col("left_over") <= LEFT_OVER)
+        rest = placed.filter(done & (F.col("component") != F.col("main")))
+        new.append(written(_confirmed(_unjudged(_pairs_of(rest, placed.filter(done), F.lit(True)), judged), representatives, texts, shingle), "path-links"))
+        on = placed.filter(~done)
+        if on.isEmpty():
             break
-        rows, ended = _branched(placed.join(on, "node", "left_semi").select("node", *CARRIED), representatives, steps[level])
+        rows, ended = _branched(on.select("node", *CARRIED), representatives, steps[level])
     return _all_links(new, known)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kpiloom.llm import chat, counts, decontam, minwise, mixing, packing, pii, quality, queries, simple8b, warc
-from kpiloom.llm.common import shared_path
+from kpiloom.llm.common import SHUFFLES_REMOVED, shared_path, written
 from kpiloom.llm.encoders import CachedEncoder, RankEncoder
 from workload import Query
 from workload.check import compare, connect
@@ -224,6 +225,34 @@ def test_near_duplicates_in_a_group_that_shares_a_passage(spark):
     assert {tuple(r) for r in found} <= set(linked) and len(found) >= 199
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if "/shuffle_" in f}
+
+    before, own = shuffles(), spark.conf.get(SHUFFLES_REMOVED, None)
+    rows = written(spark.range(5000).repartition(7, "id"), "shuffled")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(SHUFFLES_REMOVED, None) == own
+    assert rows.count() == rows.distinct().count() == 5000
+
+
+def test_near_duplicates_judge_a_pair_once(spark, monkeypatch):
+    passage, seen, confirmed = [f"p{i}" for i in range(120)], [], minwise._confirmed
+    rows = [(i, " ".join([*passage, *(f"o{i // 2}_{i if k > 3 else 0}_{k}" for k in range(24))])) for i in range(160)]
+
+    def recording(pairs, *rest):
+        seen.extend(tuple(r) for r in pairs.select("a", "b").collect())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(minwise, "_confirmed", recording)
+    minwise.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), trees=3).count()
+    assert seen and len(seen) == len(set(seen))
+
+
 def test_pipeline_takes_five_words_a_shingle(spark):
     import corpus_pipeline
 
