@@ -395,6 +395,45 @@ def test_decontamination_within_and_beyond_the_budget(spark, odd, nothing):
     assert decontam.contamination(nothing, bench).count() == 0 and decontam.clean(odd, bench.limit(0)).count() == len(ODD) + 1
 
 
+def test_decontamination_searches_many_blocks_in_one_pass(spark):
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel"]
+    items = [" ".join(words[(i * s + s * s) % 8] for i in range(20)) for s in range(1, 8)]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(items)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, items[3]), (50, items[3]), (50, items[3])], "item_id bigint, text string")
+    got = decontam.contamination(docs, bench, block_bytes=200)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # a Python worker and an index for each block before
+    wanted = decontam.contamination(docs, bench)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows == {r.doc_id: r for r in wanted.collect()}
+    assert rows[3]["items"][-2:] == [50, None] and all(r.fewest_edits == 0 and r.doc_id in r["items"] for r in rows.values())
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_decontamination_counts_common_qgrams_in_bounded_memory(monkeypatch, small):
+    if small:
+        for name, value in (("COMMON", 1), ("PART", 400), ("WINDOW", 900), ("CELLS", 300), ("POSTINGS", 50)):
+            monkeypatch.setattr(decontam, name, value)
+    rng = np.random.default_rng(4)
+    words = ["of", "the", "sea", "and", "old", "stone", "bridge", "in", "a", "long", "night"]
+    items = [" ".join(words[j] for j in rng.integers(0, len(words), 24)) for _ in range(60)]
+
+    def edited(text, n):
+        for at in rng.integers(0, len(text), n).tolist():
+            text = text[:at] + "qz"[at % 2] + text[at + at % 3 :]
+        return text
+
+    texts = [decontam.normal(" ".join(edited(items[j], n) for j in rng.integers(0, 60, 12))) for n in (0, 2, 5, 9)] + [b"", b"of the " * 300]
+    index = decontam.build([([i], t) for i, t in enumerate(items)])
+    assert (index.least < index.need).any()
+    wanted = set()
+    for t, text in enumerate(texts):
+        for i, item in enumerate(index.items):
+            edits = decontam.edits_within(item, text, decontam.budget(len(item)))
+            if edits is not None:
+                wanted.add((t, i, edits))
+    assert set(decontam.search(index, texts)) == wanted and len(wanted) > 20
+
+
 def test_language_model_base_and_probabilities(spark, odd, nothing):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").union(odd.select(F.col("doc_id") + 10_000, "text"))
     got = mixing.score(docs, mixing.train(docs)).collect()
