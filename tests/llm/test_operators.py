@@ -490,3 +490,26 @@ def test_registered():
     import __spark_entry__
 
     assert {*queries.QUERIES, "pipeline"} <= set(__spark_entry__.queries())
+
+
+def test_language_model_scores_do_not_depend_on_tasks(spark, odd, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    more = docs.union(odd.select(F.col("doc_id") + 10_000, "text")).union(docs.limit(5))
+
+    def scores():
+        return sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in mixing.score(more, mixing.train(docs)).collect())
+
+    wanted = scores()
+    for name, value in (("TASK_TOKENS", 3_000), ("HOT_TOKENS", 40), ("MOST_SPLITS", 5), ("ROUNDS", 3)):
+        monkeypatch.setattr(mixing, name, value)
+    assert scores() == wanted and len(wanted) == docs.count() + len(ODD) + 6
+
+
+def test_language_model_leaves_less_on_disk_than_twice_the_texts(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    folder = os.path.dirname(shared_path(docs, "x").removeprefix("file:"))
+    before = set(os.listdir(folder))
+    mixing.score(docs, mixing.train(docs)).count()
+    new = [f"{folder}/{d}" for d in set(os.listdir(folder)) - before if not d.startswith("context-counts")]  # of a fixed size at most
+    size = sum(os.path.getsize(f"{d}/{f}") for d in new for f in os.listdir(d))
+    assert size < 2 * docs.agg(F.sum(F.octet_length("text"))).first()[0]  # hashes of all grams took 4 times as much and more
