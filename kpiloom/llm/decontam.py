@@ -115,14 +115,15 @@ def build(rows: list[tuple[list[int | None], str]]) -> Index:
     order = np.argsort(found)
     found = found[order]
     starts = np.concatenate((np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if total else np.zeros(0, np.int64), [total]))
+    order = order.astype(np.int32)
     item = np.repeat(np.arange(len(items), dtype=np.int32), sizes)[order]
-    position = (order - (ends - sizes)[item]).astype(np.int32)
+    position = order - (ends - sizes).astype(np.int32)[item]
     del order
     times = np.diff(starts)
     common = np.flatnonzero(np.repeat(times > COMMON, times))
     dropped = np.zeros(len(items), np.int64)
     if len(common):
-        often = np.repeat(times, times)[common]
+        often = np.repeat(times.astype(np.int32), times)[common]
         by = np.lexsort((-often, item[common]))  # the commonest of each item first
         own = item[common][by]
         begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))

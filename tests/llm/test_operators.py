@@ -408,6 +408,15 @@ def test_decontamination_searches_many_blocks_in_one_pass(spark):
     assert rows[3]["items"][-2:] == [50, None] and all(r.fewest_edits == 0 and r.doc_id in r["items"] for r in rows.values())
 
 
+def test_pipeline_stage_cleans_by_a_benchmark_of_many_blocks(spark):
+    items = [" ".join(f"{w}{i}" for w in ("stone", "river", "cloud", "meadow", "harbour", "lantern")) for i in range(8)]
+    docs = spark.createDataFrame([(i, f"see {t}.", "s") for i, t in enumerate([*items[::2], "nothing of it", None])], "doc_id bigint, text string, source string")
+    bench = spark.createDataFrame([(None if i % 4 else i, t) for i, t in enumerate(items)] * 3, "item_id bigint, text string")
+    kept = decontam.clean(docs, bench, block_bytes=150)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # a Python worker and an index for each block before
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {4, 5}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_decontamination_counts_common_qgrams_in_bounded_memory(monkeypatch, small):
     if small:
